@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, secret_scan, simhash, warc
+from . import bpe, language_id, metric_join, mixing, secret_scan, simhash, warc
 
 #: The vocabulary that the registered token queries use; the operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,6 +37,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
     dictionaries = language_id.fit(docs.filter(~F.col("held_out")))
@@ -49,6 +53,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
 
