@@ -1,12 +1,65 @@
-"""The corpus pipeline: five stages, each an operator of stockcast.llm, written as Parquet in between."""
+"""The corpus pipeline: five stages, each an operator of stockcast.llm, written as Parquet in between.
+
+1. Language ID by compression: documents without a letter, or whose two best languages compress the text
+   to nearly the same size, go.
+2. SimHash near-dedup: one document of each group stays.
+3. Secret scan: every secret found is replaced in its text.
+4. Mixing: documents, whole or cut at block ends, are taken up to three times so that sources meet their targets.
+5. Byte-level BPE: token ids of every text, checked by decoding.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from stockcast.llm import bpe, language_id, mixing, secret_scan, simhash
+from stockcast.llm.components import ensure_checkpoint_dir
+
+#: The least margin between the two best languages: below it they are as good as tied.
+LEAST_MARGIN = 0.001
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.confident(docs, LEAST_MARGIN)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("tokens", encode),
+]
+
+#: Compression, SimHash components and BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages applied to documents, each stage's rows kept below the checkpoint folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, metric_join, mixing, secret_scan, simhash, warc
+from . import bpe, hnsw, language_id, metric_join, mixing, secret_scan, simhash, warc
 
 #: The vocabulary that the registered token queries use; the operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_nearest": op2_nearest,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,

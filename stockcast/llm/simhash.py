@@ -179,3 +179,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
     roots = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return marked.join(named.join(roots, "_root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of each group, unchanged: that with the least id; rows that repeat an id are one row.
+
+    A group whose ids are all null has no least id and keeps one row.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle)
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    nameless = found.filter(F.col("component_id").isNull()).select("fp").limit(1).isEmpty()
+    if nameless:
+        return named
+    unnamed = cut(docs.filter(F.col(id_col).isNull()).withColumn("_id", F.xxhash64(text_col)))
+    groups = near_duplicates(unnamed.select("_id", text_col), "_id", text_col, shingle).join(found.filter(F.col("component_id").isNull()).select("fp").distinct(), "fp", "left_semi")
+    first = groups.groupBy("component_id").agg(F.min("_id").alias("_first")).select("_first")
+    return named.unionByName(unnamed.join(first, F.col("_id") == F.col("_first"), "left_semi").dropDuplicates(["_id"]).select(*docs.columns))
