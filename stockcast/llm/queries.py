@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, language_id, metric_join, mixing, secret_scan, simhash, warc
+from . import bpe, hnsw, language_id, metric_join, mixing, secret_scan, simhash, token_counts, warc
 
 #: The vocabulary that the registered token queries use; the operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,11 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each run of lines of one kind in every whole text."""
+    return token_counts.count_sections(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -54,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_nearest": op2_nearest,
+    "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
