@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, language_id, metric_join, mixing, secret_scan, simhash, token_counts, warc
+from . import bpe, hnsw, language_id, metric_join, mixing, secret_scan, simhash, substring_dedup, token_counts, warc
 
 #: The vocabulary that the registered token queries use; the operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_nearest": op2_nearest,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
