@@ -167,8 +167,8 @@ for k in ("dense", "mid"):
 oracle("outliers", "SELECT * FROM out_dense", "sales center mad")
 oracle("outlier_counts", "SELECT id, COUNT(*) FILTER (is_outlier) AS n_outliers, COUNT(*) FILTER (is_outlier AND sales > center) AS n_spikes, COUNT(*) FILTER (is_outlier AND sales = 0) AS n_zeros FROM out_mid GROUP BY id")
 P["centred"] = "SELECT id, date, sales - AVG(sales) OVER (PARTITION BY id) AS c, COUNT(*) OVER (PARTITION BY id) AS n FROM panel_dense"
-P["centred2"] = "SELECT *, SUM(c * c) OVER (PARTITION BY id) AS ss FROM centred"
-P["auto"] = "SELECT a.id, a.n, l.k AS lag, SUM(a.c * b.c) / NULLIF(MIN(a.ss), 0) AS r FROM centred2 a CROSS JOIN range(0, 29) l(k) JOIN centred b ON b.id = a.id AND b.date = a.date - CAST(l.k AS INTEGER) GROUP BY ALL"
+P["centred_sq"] = "SELECT *, SUM(c * c) OVER (PARTITION BY id) AS ss FROM centred"
+P["auto"] = "SELECT a.id, a.n, l.k AS lag, SUM(a.c * b.c) / NULLIF(MIN(a.ss), 0) AS r FROM centred_sq a CROSS JOIN range(0, 29) l(k) JOIN centred b ON b.id = a.id AND b.date = a.date - CAST(l.k AS INTEGER) GROUP BY ALL"
 oracle("acf", "SELECT id, n, lag, r FROM auto", "r", "lag")
 oracle("ljung_box_q", "SELECT id, MAX(lag) AS lags, n * (n + 2) * SUM(r * r / (n - lag)) AS q FROM auto WHERE lag >= 1 AND lag <= GREATEST(1, LEAST(14, n // 5)) GROUP BY id, n", "q", "lags")
 for by, e in (("dow", "isodow(date) - 1"), ("month", "month(date)")):
@@ -182,8 +182,8 @@ oracle("year_overlay", "SELECT id, year(date) AS year, dayofyear(date) AS day_of
 P["resid"] = "SELECT id, method, target_date AS date, forecast - actual AS residual FROM pred_dense_weekly WHERE horizon = 1 AND NOT closure"
 oracle("residual_histogram", "SELECT r.method, CASE WHEN hi2 > lo2 THEN LEAST(floor((residual - lo2) / (hi2 - lo2) * bins), bins - 1) ELSE 0 END AS bin, COUNT(*) AS n FROM resid r JOIN (SELECT method, MIN(residual) AS lo2, MAX(residual) AS hi2, LEAST(15, GREATEST(5, COUNT(*) // 4)) AS bins FROM resid GROUP BY method) g ON g.method = r.method GROUP BY ALL", "", "bin")
 P["rc"] = "SELECT id, ROW_NUMBER() OVER (PARTITION BY id ORDER BY date) AS i, residual - AVG(residual) OVER (PARTITION BY id) AS c, COUNT(*) OVER (PARTITION BY id) AS n FROM resid WHERE method = 'seasonal_naive'"
-P["rc2"] = "SELECT *, SUM(c * c) OVER (PARTITION BY id) AS ss FROM rc"
-oracle("residual_acf", "SELECT a.id, a.n, l.k AS lag, SUM(a.c * b.c) / NULLIF(MIN(a.ss), 0) AS r FROM rc2 a CROSS JOIN range(0, 8) l(k) JOIN rc b ON b.id = a.id AND b.i = a.i - l.k GROUP BY ALL", "r", "lag")
+P["rc_sq"] = "SELECT *, SUM(c * c) OVER (PARTITION BY id) AS ss FROM rc"
+oracle("residual_acf", "SELECT a.id, a.n, l.k AS lag, SUM(a.c * b.c) / NULLIF(MIN(a.ss), 0) AS r FROM rc_sq a CROSS JOIN range(0, 8) l(k) JOIN rc b ON b.id = a.id AND b.i = a.i - l.k GROUP BY ALL", "r", "lag")
 oracle("monthly_level", "SELECT id, method, CAST(date_trunc('month', target_date) AS DATE) AS month, AVG(actual) AS actual, AVG(forecast) AS forecast FROM pred_dense_weekly WHERE NOT closure GROUP BY ALL", "actual forecast")
 oracle("weekly_totals", "SELECT * FROM week_dense_weekly", "actual forecast scale error")
 oracle("weekly_bias", "SELECT method, kind, -AVG(error) AS bias, stddev_samp(error) AS sd, AVG((error > 0)::INT::DOUBLE) AS share_under, COUNT(error) AS n_weeks FROM week_dense_weekly GROUP BY ALL", "bias sd share_under")
