@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, suite_config
-from ..operators import calendar, explore, features, folds, order, panel, registry, scoring
+from ..models import gbt
+from ..operators import calendar, explore, features, fit, folds, order, panel, registry, scoring
 from ..sources import retail
 
 WEEKLY, DEV, TWO_YEAR = suite_config("weekly"), Config(n_folds=8), suite_config("two_year")
@@ -572,3 +574,29 @@ def registry_holiday_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.latest(registry.run_rows(_recorded(spark, sf_dir))).select("suite", "method", "code", "run_id", "recorded_at", "rmsse_mean")
+
+
+#: Fitted methods run over few folds here and boost few rounds: a query shows the method, a study sets its own layout.
+FEW, QUICK = Config(n_folds=2), gbt.Settings(rounds=40, eta=0.15, depth=5)
+
+
+def _fitted(name: str, method: str, pool: str | None = None) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cfg = replace(FEW, pool_by=pool)
+        d = Data(spark, sf_dir, cfg=cfg)
+        rows = d.panel()
+        if method in fit.SERIES_METHODS:
+            made = fit.series_forecasts(rows, cfg, d.last, method)
+        else:
+            made = fit.tree_forecasts(rows, cfg, d.last, method, QUICK)
+        return fit.predictions(rows, cfg, d.last, made)
+
+    f.__name__ = name
+    query(f)
+
+
+for _name, _method, _pool in (
+    ("ets", "ets", None), ("arima", "arima", None), ("arima_plain", "arima_plain", None), ("arma", "arma", None), ("gbt", "xgboost", None), ("gbt_pooled", "xgboost", "item_id"), ("gbt_rel", "xgboost_rel", None),
+    ("gbt_rel_pooled", "xgboost_rel", "item_id"), ("gbt_poisson", "xgboost_poisson", None), ("gbt_rel_recent", "xgboost_rel_recent", None), ("gbt_quantiles", "xgboost_quantile", None),
+):
+    _fitted(_name, _method, _pool)
