@@ -16,7 +16,7 @@ class Settings:
     rows: float = 0.8
     columns: float = 0.8
     l2: float = 1.0
-    bins: int = 64
+    bins: int = 256
     patience: int = 50
     no_tail_rounds: int = 150
     seed: int = 0

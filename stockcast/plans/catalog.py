@@ -577,7 +577,7 @@ def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Fitted methods run over few folds here and boost few rounds: a query shows the method, a study sets its own layout.
-FEW, QUICK = Config(n_folds=2), gbt.Settings(rounds=40, eta=0.15, depth=5)
+FEW, QUICK = Config(n_folds=2), gbt.Settings(rounds=40, eta=0.15, depth=5, bins=64)
 
 
 def _fitted(name: str, method: str, pool: str | None = None) -> None:
