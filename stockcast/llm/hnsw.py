@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard, shard results merged.
 
-Nearness is the inner product. Vectors get one more component so that all have the norm of the longest;
+Nearness is the inner product. Vectors get one more component so that all have the norm of their shard's longest;
 then the largest inner product is also the least distance, and graph rules that need a metric hold.
 Equal vectors are indexed once, with the least ids of their copies. Vectors are dealt to shards of about
-SHARD by a hash of the id. A shard's graph is a few nested layers of flat neighbour arrays, built in
+SHARD by length, magnitude (bands of 2^BAND) and a hash of the id. A shard's graph is a few nested layers of flat neighbour arrays, built in
 batches: each batch searches the graph so far, keeps neighbours that lie in different directions, and is
 linked back. The index is one row per shard, kept in the checkpoint folder; to search, each shard's row is
 followed by the query vectors in one sorted stream, so a task holds one shard and one batch of queries.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .components import cut
 from .metric_join import matrix, usable
 
-#: Rows of a shard, about; links of a node above the ground layer (twice that on it); beam widths.
-SHARD, LINKS, BUILD_BEAM, SEARCH_BEAM = 8192, 16, 64, 128
+#: Rows of a shard, about; links of a node above the ground layer (twice that on it); beam widths; log2 width of a magnitude band.
+SHARD, LINKS, BUILD_BEAM, SEARCH_BEAM, BAND = 8192, 16, 64, 128, 4
 _AT_ONCE, _EXPAND = 256, 4
 
 
@@ -180,22 +180,24 @@ def levels_of(ids: np.ndarray, links: int = LINKS) -> np.ndarray:
     return np.minimum(8, (-np.log(u) / math.log(links)).astype(np.int64))
 
 
-def _augment(v: np.ndarray, norm: float) -> np.ndarray:
-    v = v / norm
+def _augment(v: np.ndarray) -> np.ndarray:
+    """The rows over the longest norm, with a component that brings each to norm 1."""
+    v = v / np.abs(v).max()
+    v = v / (np.sqrt((v * v).sum(axis=1).max()) * (1 + 1e-9))
     return np.concatenate([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
 
 
 _INDEX = "shard long, node binary, vector binary, sizes array<int>, links binary"
 
 
-def build_index(classes: DataFrame, norm: float) -> DataFrame:
+def build_index(classes: DataFrame) -> DataFrame:
     """One row per shard from (shard, node, vector): node ids, vectors and all layers' links as flat arrays."""
 
     def one(shard: int, node: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         levels = levels_of(node)
         order = np.lexsort((node, -levels))
         node, v, levels = node[order], v[order], levels[order]
-        graph = Graph.build(_augment(v, norm), levels)
+        graph = Graph.build(_augment(v), levels)
         flat = np.concatenate([layer.ravel() for layer in graph.layers])
         row = [[shard], [node.tobytes()], [v.tobytes()], [[n for layer in graph.layers for n in layer.shape]], [flat.tobytes()]]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
@@ -222,7 +224,7 @@ def build_index(classes: DataFrame, norm: float) -> DataFrame:
     return cut(dealt.mapInArrow(run, _INDEX))
 
 
-def search_index(index: DataFrame, queries: DataFrame, norm: float, k: int) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, node, score): each shard's k best for each (shard, query, vector) row of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +255,7 @@ def search_index(index: DataFrame, queries: DataFrame, norm: float, k: int) -> D
                     for n, width in zip(sizes[::2], sizes[1::2], strict=True):
                         layers.append(flat[used : used + n * width].reshape(n, width))
                         used += n * width
-                    graph, at = Graph(_augment(v, norm), layers), stop + 1
+                    graph, at = Graph(_augment(v), layers), stop + 1
 
     asked = queries.select("shard", "query", F.col("vector").alias("asked"))
     stream = index.unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("vector").isNull(), "query")
@@ -265,19 +267,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     classes = rows.withColumn("_n", first).filter(F.col("_n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    shards = classes.groupBy(F.size("vector").alias("_dim")).agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    classes = classes.withColumn("node", F.col("members")[0])
-    sized = classes.join(shards, F.size("vector") == F.col("_dim"))
-    base = F.col("_dim").cast("long") * F.lit(2**32)
-    classes = cut(sized.select("node", "vector", "members", "_dim", "shards", (base + F.pmod(F.xxhash64("node"), F.col("shards"))).alias("shard")))
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    norm = math.sqrt(classes.agg(F.max(squares)).first()[0] or 1.0) * (1 + 1e-9)
+    largest = F.array_max(F.transform("vector", F.abs))
+    kinds = {"_dim": F.size("vector"), "_band": F.floor(F.log2(largest) / BAND)}
+    classes = classes.withColumn("node", F.col("members")[0]).withColumns(kinds)
+    shards = classes.groupBy(F.col("_dim").alias("_d"), F.col("_band").alias("_b")).agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    shards = cut(shards)
+    sized = classes.join(shards, (F.col("_dim") == F.col("_d")) & (F.col("_band") == F.col("_b")))
+    classes = cut(sized.select("node", "vector", "members", "_dim", F.xxhash64("_dim", "_band", F.pmod(F.xxhash64("node"), F.col("shards"))).alias("shard")))
     queries = rows.filter(F.col("id") % every == 0)
     named = queries.join(classes.select(F.col("vector").alias("_v"), F.col("node").alias("query")), F.col("vector") == F.col("_v")).select("id", "query")
     named = cut(named)
     asked = classes.join(named.select("query").distinct(), F.col("node") == F.col("query"))
-    asked = asked.select("query", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("_s"), base.alias("_base")).select((F.col("_base") + F.col("_s")).alias("shard"), "query", "vector")
-    found = search_index(build_index(classes, norm), asked, norm, k + 1)
+    every_shard = shards.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("_d", F.xxhash64("_d", "_b", "_s").alias("_shard"))
+    asked = asked.join(every_shard, F.col("_dim") == F.col("_d")).select(F.col("_shard").alias("shard"), "query", "vector")
+    found = search_index(build_index(classes), asked, k + 1)
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
     found = found.withColumn("_n", best).filter(F.col("_n") <= k + 1).drop("_n")
     copies = found.join(classes.select(F.col("node").alias("_node"), "members"), F.col("node") == F.col("_node")).select("query", "score", F.explode("members").alias("hit"))
