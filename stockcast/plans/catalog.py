@@ -13,6 +13,7 @@ from ..config import Config, suite_config
 from ..models import gbt
 from ..operators import calendar, explore, features, fit, folds, order, panel, registry, scoring
 from ..sources import retail
+from ..streaming import hourly
 
 WEEKLY, DEV, TWO_YEAR = suite_config("weekly"), Config(n_folds=8), suite_config("two_year")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -600,3 +601,8 @@ for _name, _method, _pool in (
     ("gbt_rel_pooled", "xgboost_rel", "item_id"), ("gbt_poisson", "xgboost_poisson", None), ("gbt_rel_recent", "xgboost_rel_recent", None), ("gbt_quantiles", "xgboost_quantile", None),
 ):
     _fitted(_name, _method, _pool)
+
+
+@query
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly.hourly_totals(retail.table(spark, sf_dir, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -233,3 +233,4 @@ oracle("registry_top3", "SELECT suite, method, rmsse_mean, place FROM (SELECT su
 oracle("registry_by_store", "SELECT suite, method, store_id, AVG(rmsse) AS rmsse, COUNT(*) AS n FROM rec WHERE code = 'c1' GROUP BY ALL", "rmsse")
 oracle("registry_holiday_split", "SELECT suite, method, AVG(rmsse) FILTER (week_kind = 'holiday') AS holiday, AVG(rmsse) FILTER (week_kind = 'normal') AS normal FROM rec WHERE code = 'c1' GROUP BY ALL", "holiday normal")
 oracle("registry_latest", "SELECT suite, method, code, run_id, recorded_at, rmsse_mean FROM runs r WHERE recorded_at = (SELECT MAX(x.recorded_at) FROM runs x WHERE x.suite = r.suite AND x.method = r.method)", "rmsse_mean")
+oracle("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY ALL", "total")
