@@ -155,6 +155,31 @@ def refine(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int)
     return run[at], bucket[at]
 
 
+def may_match(records: np.ndarray, text: np.ndarray, starts: np.ndarray, hashes: np.ndarray, length: int) -> np.ndarray:
+    """Whether a record can share a window with one of another id: the first splitting of the anchor buckets.
+
+    A window has length - GRAM bytes beside its anchor, so half of them on one side: records that share
+    neither the anchor with the bytes on its left nor with those on its right have no window in common.
+    """
+    side = min(16, (length - GRAM + 1) // 2)
+    if side < 8:
+        return np.ones(len(records), bool)
+    w, at = words(text), starts + records["left"]
+    ends = starts + records["windows"].astype(np.int64) + length - 1
+    out = np.zeros(len(records), bool)
+    for enough, near, far in ((records["left"] >= side, at - side, at - 8), (at + GRAM + side <= ends, at + GRAM, at + GRAM + side - 8)):
+        rows = np.flatnonzero(enough)
+        key = hashes[rows] * _K[1] + w[near[rows]] * _K[0] + w[far[rows]] * _K[2]
+        order = np.argsort(key ^ key >> np.uint64(31))
+        if len(order):
+            sorted_key = key[order]
+            new = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+            owner = records["id"][rows[order]]
+            several = np.minimum.reduceat(owner, new) < np.maximum.reduceat(owner, new)
+            out[rows[order]] |= np.repeat(several, np.diff(np.append(new, len(order))))
+    return out
+
+
 def removed_windows(records: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """For each window of the records, in order, whether a record with a smaller id has it too."""
     sizes = records["windows"].astype(np.int64) + length - 1
@@ -326,7 +351,10 @@ def _removed(packed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
             record, text, number = np.concatenate(records), np.concatenate([*data, np.zeros(8, np.uint8)]), np.concatenate(source)
             sizes = record["windows"].astype(np.int64) + length - 1
             starts = np.cumsum(sizes) - sizes
-            share = gram_hash(words(text), starts + record["left"]) // np.uint64(buckets) % np.uint64(max(1, -(-len(text) // REFINED)))
+            hashes = gram_hash(words(text), starts + record["left"])
+            some = np.flatnonzero(may_match(record, text, starts, hashes, length))
+            record, number, starts, sizes, hashes = record[some], number[some], starts[some], sizes[some], hashes[some]
+            share = hashes // np.uint64(buckets) % np.uint64(max(1, -(-int(sizes.sum()) // REFINED)))
             for s in np.unique(share):
                 part = np.flatnonzero(share == s)
                 gone = removed_windows(record[part], take_runs(text, starts[part], sizes[part]), length)
