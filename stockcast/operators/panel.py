@@ -124,9 +124,13 @@ def rows_between(back: int) -> Window:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, ints as longs: the form in which results are compared."""
+    """Doubles rounded, ints as longs: the form in which results are compared.
+
+    Plain arithmetic, and a cut a little off the half, so that ties and last bits do not decide.
+    """
+    scale = 10.0**digits
     out: list[Column] = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        out.append((F.round(c, digits) if kind == "double" else c.cast("long") if kind in ("int", "smallint", "tinyint") else c).alias(name))
+        out.append((F.floor(c * scale + 0.5001) / scale if kind == "double" else c.cast("long") if kind in ("int", "smallint", "tinyint") else c).alias(name))
     return df.select(*out)

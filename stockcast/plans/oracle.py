@@ -87,7 +87,7 @@ def chain(final: str) -> str:
 
 
 def oracle(name: str, sql: str, doubles: str = "", ints: str = "") -> None:
-    fixed = [f"round({c}, 6) AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
+    fixed = [f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5001) / 1e6 AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
     ORACLES[name] = chain(f"SELECT * REPLACE ({', '.join(fixed)}) FROM ({sql}) AS t" if fixed else sql)
 
 
