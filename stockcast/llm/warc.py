@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .components import cut, ensure_checkpoint_dir
 
-#: Payload characters of an archive, about; bytes between ranges that one read may span; bytes of a read.
-ARCHIVE_CHARS, GAP, WINDOW = 8_000_000, 65_536, 4_194_304
+#: Payload bytes of an archive, about; bytes between ranges that one read may span; bytes of a read.
+ARCHIVE_BYTES, GAP, WINDOW = 8_000_000, 65_536, 4_194_304
 #: Fixed value: all records carry one date, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "archive long, offset long, length long, page_id long, record_type string, payload_digest string, url string"
@@ -83,23 +83,24 @@ def _file(folder: str, archive: int) -> tuple[pafs.FileSystem, str]:
     return fs, f"{path}/archive-{archive:08d}.warc.gz"
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_chars: int = ARCHIVE_CHARS) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes all pages and returns the index, one row per record, kept in the checkpoint folder.
 
     Equal payloads of min_bytes bytes and more become one response and revisits of it; smaller ones are responses.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    summary = keyed.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n"), F.max(F.length("payload")).alias("size"))
-    shared = cut(summary.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select(F.col("sha").alias("_sha"), "first"))
-    chars = pages.agg(F.sum(F.length(payload_col))).first()[0] or 0
-    n = max(1, -(-chars // archive_chars))
-    linked = keyed.join(shared, F.col("sha") == F.col("_sha"), "left")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    linked = linked.select(F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("archive"), "page_id", "url", "payload", refers.alias("refers_to"))
+    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    sums = cut(keyed.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")))
+    total = sums.agg(F.sum("size")).first()[0] or 0
+    archive = F.pmod(F.xxhash64("page_id"), F.lit(max(1, -(-total // archive_bytes)))).alias("archive")
+    first = sums.filter(F.col("size") >= min_bytes).groupBy(F.col("sha").alias("_sha")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    revisits = sums.join(first, F.col("sha") == F.col("_sha")).filter("first <> page_id").select(archive, "page_id", "sha", "first").distinct()
+    # what a page refers to travels beside it, so payloads are shuffled once, to their archives
+    stream = keyed.select(archive, "page_id", "url", "payload").unionByName(revisits, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, attempt, archive, offset, place = None, TaskContext.get().taskAttemptId(), None, 0, None
+        holder, refers = None, {}  # what the pages of the current id refer to, by the payload's SHA-1
 
         def close() -> None:
             if out is not None:
@@ -108,8 +109,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         for batch in batches:
             rows: list[tuple] = []
-            for number, page_id, url, data, refers_to in zip(*(c for c in batch.columns), strict=True):
-                number, page_id, url, data, refers_to = (x.as_py() for x in (number, page_id, url, data, refers_to))
+            for values in zip(*batch.columns, strict=True):
+                number, page_id, url, data, sha, first_id = (x.as_py() for x in values)
+                if (number, page_id) != holder:
+                    holder, refers = (number, page_id), {}
+                if data is None:
+                    refers[sha] = first_id
+                    continue
+                refers_to = refers.get(hashlib.sha1(data).hexdigest()) if refers else None
                 if number != archive:
                     close()
                     archive, offset = number, 0
@@ -127,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
         close()
 
-    dealt = linked.repartition(n, "archive").sortWithinPartitions("archive", "page_id")
+    dealt = stream.repartition("archive").sortWithinPartitions("archive", "page_id", F.col("payload").isNotNull())
     return cut(dealt.mapInArrow(run, _INDEX))
 
 
