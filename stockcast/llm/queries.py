@@ -74,4 +74,16 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+#: Of the others, SQL lacks the hash, the compressor, the merge rules or a seeded order, or is too slow over whole tables.
+ORACLES = {
+    "op9_embedding_dedup": """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON b.label = a.label AND b.vec_id <> a.vec_id AND len(b.v) = len(a.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a, MIN(b) AS c FROM reach GROUP BY a), degree AS (SELECT a, COUNT(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, COALESCE(d.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept FROM embeddings e JOIN least m ON m.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+""",
+}
