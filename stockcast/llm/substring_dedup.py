@@ -180,6 +180,27 @@ def may_match(records: np.ndarray, text: np.ndarray, starts: np.ndarray, hashes:
     return out
 
 
+def outdone(records: np.ndarray, data: np.ndarray, first: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether a record with a smaller id has the very same bytes around the same anchor: all its windows go."""
+    sizes = records["windows"].astype(np.int64) + length - 1
+    span = np.arange(2 * length - GRAM) - (length - GRAM)
+    padded = np.zeros((len(records), (len(span) + 9) // 8 * 8), np.uint8)
+    for a in range(0, len(records), 65_536):
+        part = slice(a, a + 65_536)
+        place = at[part, None] + span
+        inside = (place >= first[part, None]) & (place < (first + sizes)[part, None])
+        padded[part, : len(span)] = np.where(inside, data[np.where(inside, place, 0)], 0)
+    padded[:, -1] = records["left"] + np.uint8(1)
+    padded[:, -2] = records["windows"]
+    order, fresh = _grouped(padded.view(np.uint64))
+    new = np.flatnonzero(fresh)
+    out = np.zeros(len(order), bool)
+    if len(order):
+        least = np.repeat(np.minimum.reduceat(records["id"][order], new), np.diff(np.append(new, len(order))))
+        out[order] = records["id"][order] > least
+    return out
+
+
 def removed_windows(records: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """For each window of the records, in order, whether a record with a smaller id has it too."""
     sizes = records["windows"].astype(np.int64) + length - 1
@@ -307,22 +328,8 @@ def _removed(packed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
                 record["id"], record["row"], record["start"] = chunk.ids[row], row, first - chunk.starts[row]
                 record["left"], record["windows"] = at - first, last - first + 1
                 sizes = last - first + length
-                # the very same bytes around the same anchor: only the least id goes on
-                span = np.arange(2 * length - GRAM)[None, :] - (length - GRAM)
-                padded = np.zeros((len(picked), (span.shape[1] + 9) // 8 * 8), np.uint8)
-                for a in range(0, len(picked), 65_536):
-                    part = slice(a, a + 65_536)
-                    place = at[part, None] + span
-                    inside = (place >= first[part, None]) & (place < (first + sizes)[part, None])
-                    padded[part, : span.shape[1]] = np.where(inside, chunk.data[np.where(inside, place, 0)], 0)
-                padded[:, -1] = record["left"] + np.uint8(1)
-                padded[:, -2] = record["windows"]
-                order, fresh = _grouped(padded.view(np.uint64))
-                new = np.flatnonzero(fresh)
-                if len(order):
-                    least = np.repeat(np.minimum.reduceat(record["id"][order], new), np.diff(np.append(new, len(order))))
-                    settled = np.zeros(len(order), bool)
-                    settled[order] = record["id"][order] > least
+                if len(record):
+                    settled = outdone(record, chunk.data, first, at, length)
                     done = record[settled]
                     rows.append((-1 - number.as_py(), number.as_py(), _spans(done, np.ones(int(done["windows"].astype(np.int64).sum()), bool), length).tobytes()))
                     keep = ~settled
@@ -357,21 +364,31 @@ def _removed(packed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
             share = hashes // np.uint64(buckets) % np.uint64(max(1, -(-int(sizes.sum()) // REFINED)))
             for s in np.unique(share):
                 part = np.flatnonzero(share == s)
+                # copies of the same bytes need no refinement: all but the least id's go at once
+                copy = outdone(record[part], text, starts[part], starts[part] + record["left"][part], length)
+                yield from _sent_back(record[part[copy]], number[part[copy]], None, length)
+                part = part[~copy]
                 gone = removed_windows(record[part], take_runs(text, starts[part], sizes[part]), length)
-                if not gone.any():
-                    continue
-                spans = _spans(record[part], gone, length)
-                whose = np.repeat(number[part], _span_counts(record[part], gone))
-                order = np.argsort(whose, kind="stable")
-                edges = np.append(np.flatnonzero(np.concatenate([[True], whose[order][1:] != whose[order][:-1]])), len(order))
-                out = [spans[order[a:b]].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(whose[order][edges[:-1]]), pa.array(out, pa.binary())], names=["chunk", "blob"])
+                yield from _sent_back(record[part], number[part], gone, length)
 
     joined = packed.join(shared, F.col("chunk") == F.col("_chunk"), "left").select("chunk", "ids", "sizes", "text", "found")
     sent = joined.mapInArrow(send, "bucket long, chunk long, blob binary").repartition("bucket").sortWithinPartitions("bucket", "chunk")
     return sent.mapInArrow(meet, "chunk long, blob binary").groupBy(F.col("chunk").alias("_chunk")).agg(F.collect_list("blob").alias("spans"))
 
 
+def _sent_back(records: np.ndarray, number: np.ndarray, gone: np.ndarray | None, length: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, blob) rows of the spans that removed windows cover; without gone, all windows are removed."""
+    if gone is None:
+        gone = np.ones(int(records["windows"].astype(np.int64).sum()), bool)
+    if gone.any():
+        spans = _spans(records, gone, length)
+        whose = np.repeat(number, _span_counts(records, gone))
+        order = np.argsort(whose, kind="stable")
+        edges = np.append(np.flatnonzero(np.concatenate([[True], whose[order][1:] != whose[order][:-1]])), len(order))
+        out = [spans[order[a:b]].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(whose[order][edges[:-1]]), pa.array(out, pa.binary())], names=["chunk", "blob"])
+
+
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, whether each row of it begins a group) that puts equal rows of a matrix of words together."""
     mixed = (keys * (_K[0] + 2 * np.arange(keys.shape[1], dtype=np.uint64) * _K[1])).sum(axis=1, dtype=np.uint64) if len(keys) else np.empty(0, np.uint64)
