@@ -8,7 +8,10 @@ neighbouring windows mostly share one, so about one position in 14 is an anchor.
    that another chunk sent too. Anchors that occur in one chunk and one document only end here.
 2. For the others the chunk sends the bytes of the windows that the anchor owns. If several documents of the
    chunk hold the very same bytes there, only the least id sends them: the others are settled, so a passage
-   that many documents share leaves a chunk once.
+   that many documents share leaves a chunk once. Where a passage begins or ends the bytes around it differ,
+   so there every document has a record of its own: an anchor that leaves more than ``heavy`` different records
+   in some chunk is cut into single windows everywhere. Those are settled in the chunk in their turn, and go to buckets by
+   the hash of the window instead of the anchor's.
 3. A bucket refines the windows by bucket pointers: positions start in buckets of equal 8-grams, and
    buckets are split by sorting on the bucket of the position 8, then 16, then ``length - 32`` further on, each
    time reusing the buckets found just before. At the full length, a window is removed if its bucket has a
@@ -36,6 +39,8 @@ from .components import cut
 LENGTH, GRAM, CHUNK = 50, 24, 4_000_000
 #: Bytes of candidate text that a bucket refines at a time; what shares an anchor is never split.
 REFINED = 4_000_000
+#: Different records of one anchor in a chunk beyond which the anchor's windows are sent one by one.
+HEAVY = 64
 _NULL_ID = np.iinfo(np.int64).max
 #: Odd multipliers of the hash.
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -125,6 +130,25 @@ class Chunk:
                 todo = todo[~stops]
         return row, first, last
 
+    def records(self, at: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), _RECORD)
+        out["id"], out["row"], out["start"] = self.ids[row], row, first - self.starts[row]
+        out["left"], out["windows"] = at - first, last - first + 1
+        return out
+
+    def heavy(self, at: np.ndarray, hashes: np.ndarray, length: int, most: int) -> np.ndarray:
+        """Hashes of the anchors that have more than most records with different bytes."""
+        code, times = np.unique(hashes, return_counts=True)
+        often = code[times > most]
+        if not len(often):
+            return often
+        row, first, last = self.owned(at, hashes, length)
+        picked = np.flatnonzero((first <= last) & np.isin(hashes, often))
+        row, first, last, at = (x[picked] for x in (row, first, last, at))
+        left = ~outdone(self.records(at, row, first, last), self.data, first, at, length)
+        code, times = np.unique(hashes[picked][left], return_counts=True)
+        return code[times > most]
+
 
 def take_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """data[start : start + size] of each run, end to end."""
@@ -132,6 +156,27 @@ def take_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
+def single_windows(records: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of the records as a record of its own, with its position."""
+    sizes = records["windows"].astype(np.int64)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.repeat(records, sizes)
+    out["start"] += place.astype(np.uint32)
+    out["left"] -= place.astype(np.uint8)
+    out["windows"] = 1
+    return out, np.repeat(first, sizes) + place
+
+
+def _marked(marked: np.ndarray, every: np.ndarray) -> bytes:
+    """Two arrays of one type, the former's length before them."""
+    return np.array([len(marked)], every.dtype).tobytes() + marked.astype(every.dtype).tobytes() + every.tobytes()
+
+
+def _unmarked(blob: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(blob, kind)
+    return data[1 : int(data[0]) + 1], data[int(data[0]) + 1 :]
+
+
 def bucket_ids(key: np.ndarray) -> np.ndarray:
     """Equal keys get equal ids, in the order of the keys."""
     return np.unique(key, return_inverse=True)[1].astype(np.uint64)
@@ -241,31 +286,34 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
     return cut(packed)
 
 
-def _shared_anchors(packed: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(chunk, found): the chunk's anchor codes that other chunks have too, as one array of blobs."""
+def _shared_anchors(packed: DataFrame, buckets: int, length: int, most: int) -> DataFrame:
+    """(chunk, found): the chunk's anchor codes that other chunks have too, those heavy in any chunk marked, as one array of blobs."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, *parts in zip(*batch.columns, strict=True):
-                _, hashes = Chunk.unpack(*(p.as_py() for p in parts)).anchors(length)
-                code = np.unique(hashes)
+                chunk = Chunk.unpack(*(p.as_py() for p in parts))
+                at, hashes = chunk.anchors(length)
+                code, heavy = np.unique(hashes), chunk.heavy(at, hashes, length, most)
                 bucket, low = code % np.uint64(buckets), (code // np.uint64(buckets)).astype(np.uint32)
                 order = np.lexsort((low, bucket))
-                bucket, low = bucket[order], low[order]
+                bucket, low, mark = bucket[order], low[order], np.isin(code, heavy, assume_unique=True)[order]
                 edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else np.zeros(1, int)
-                blobs = [np.unique(low[a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+                blobs = [_marked(low[a:b][mark[a:b]], np.unique(low[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int64)), pa.array([number.as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, chunks, blobs in _groups(batches):
-            arrays = [np.frombuffer(b, np.uint32) for b in blobs]
+            marks, arrays = zip(*(_unmarked(b, np.uint32) for b in blobs), strict=True)
+            marked = np.unique(np.concatenate(marks))
             every = np.sort(np.concatenate(arrays))
             twice = np.unique(every[1:][every[1:] == every[:-1]])
             out = []
             for number, a in zip(chunks, arrays, strict=True):
                 found = a[np.isin(a, twice, assume_unique=True)]
                 if len(found):
-                    out.append((number, (found.astype(np.uint64) | np.uint64(bucket) << np.uint64(32)).tobytes()))
+                    codes = found.astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
+                    out.append((number, _marked(codes[np.isin(found, marked, assume_unique=True)], codes)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "blob"])
 
@@ -312,7 +360,9 @@ def _removed(packed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
                 chunk, rows = Chunk.unpack(*(p.as_py() for p in parts)), []
                 at, hashes = chunk.anchors(length)
                 row, first, last = chunk.owned(at, hashes, length)
-                known = np.sort(np.frombuffer(b"".join(found.as_py() or []), np.uint64))
+                told = [_unmarked(b, np.uint64) for b in found.as_py() or []]
+                known = np.sort(np.concatenate([np.empty(0, np.uint64), *(k for _, k in told)]))
+                heavy = np.concatenate([np.empty(0, np.uint64), *(m for m, _ in told)])
                 code = (hashes // np.uint64(buckets)).astype(np.uint32).astype(np.uint64) | (hashes % np.uint64(buckets)) << np.uint64(32)
                 order = np.argsort(hashes, kind="stable")
                 twin = np.zeros(len(at), bool)  # anchors that several documents of the chunk have
@@ -323,19 +373,24 @@ def _removed(packed: DataFrame, shared: DataFrame, buckets: int, length: int) ->
                 spot = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
                 wanted = twin | (known[spot] == code) if len(known) else twin
                 picked = np.flatnonzero(wanted & (first <= last))  # of equal hashes in a window only the first owns it
-                record = np.empty(len(picked), _RECORD)
-                row, first, last, at, hashes = (x[picked] for x in (row, first, last, at, hashes))
-                record["id"], record["row"], record["start"] = chunk.ids[row], row, first - chunk.starts[row]
-                record["left"], record["windows"] = at - first, last - first + 1
-                sizes = last - first + length
+                row, first, last, at, hashes, code = (x[picked] for x in (row, first, last, at, hashes, code))
+                record = chunk.records(at, row, first, last)
                 if len(record):
-                    settled = outdone(record, chunk.data, first, at, length)
-                    done = record[settled]
+                    keep = ~outdone(record, chunk.data, first, at, length)
+                    done, bucket = record[~keep], hashes % np.uint64(buckets)
+                    single = keep & np.isin(code, heavy)
+                    keep &= ~single
+                    window, spot = single_windows(record[single], first[single])
+                    again = outdone(window, chunk.data, spot, spot + window["left"], length)
+                    done, window, spot = np.concatenate([done, window[again]]), window[~again], spot[~again]
+                    w = words(chunk.data)
+                    by_window = (gram_hash(w, spot) * _K[1] + gram_hash(w, spot + length - GRAM)) >> np.uint64(7)
+                    record, first = np.concatenate([record[keep], window]), np.concatenate([first[keep], spot])
+                    bucket = np.concatenate([bucket[keep], by_window % np.uint64(buckets)])
                     rows.append((-1 - number.as_py(), number.as_py(), _spans(done, np.ones(int(done["windows"].astype(np.int64).sum()), bool), length).tobytes()))
-                    keep = ~settled
-                    bucket = hashes[keep] % np.uint64(buckets)
                     by = np.argsort(bucket, kind="stable")
-                    record, first, sizes, bucket = record[keep][by], first[keep][by], sizes[keep][by], bucket[by]
+                    record, first, bucket = record[by], first[by], bucket[by]
+                    sizes = record["windows"].astype(np.int64) + length - 1
                     edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else np.zeros(1, int)
                     for a, b in zip(edges, edges[1:], strict=False):
                         data = take_runs(chunk.data, first[a:b], sizes[a:b])
@@ -407,7 +462,7 @@ def _span_counts(records: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.bincount(run[first], minlength=len(records))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, chunk: int = CHUNK, heavy: int = HEAVY) -> DataFrame:
     """(id_col, n_bytes, n_removed, spans, kept): spans are the maximal removed byte ranges, kept the other bytes.
 
     length is 33 to 64.
@@ -416,7 +471,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length must be 33 to 64")
     packed = pack(docs, id_col, text_col, chunk)
     buckets = max(1, packed.count() // 2)
-    spans = _removed(packed, _shared_anchors(packed, buckets, length), buckets, length)
+    spans = _removed(packed, _shared_anchors(packed, buckets, length, heavy), buckets, length)
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -356,8 +356,8 @@ def brute_repeats(rows, n):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4_000_000, 700])
-def test_repeats_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "heavy"), [(4_000_000, 64), (700, 64), (700, 1), (2000, 0)])
+def test_repeats_equal_brute_force(spark, chunk, heavy):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6)))
     passage = " ".join(word() for _ in range(40))
@@ -366,7 +366,7 @@ def test_repeats_equal_brute_force(spark, chunk):
     df = docs(spark, texts).repartition(3)
     for length in (50, 40):
         want = brute_repeats([(k, t.encode()) for k, t in enumerate(texts)], length)
-        for r in substring_dedup.remove_repeats(df, length=length, chunk=chunk).collect():
+        for r in substring_dedup.remove_repeats(df, length=length, chunk=chunk, heavy=heavy).collect():
             assert (r["n_removed"], bytes(r["kept"])) == want[r["doc_id"]]
             assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
 
