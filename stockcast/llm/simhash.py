@@ -130,10 +130,12 @@ def _compare(rows: DataFrame, last: bool) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], (data[1:, 2:] != data[:-1, 2:]).any(axis=1)]))
             sizes = np.diff(np.append(starts, len(data)))
             u = np.ascontiguousarray(data[:, 0]).view(np.uint64)
+            rest = tuple(data[0, 2:]) == over  # of a variant too large to compare, however few rows are left of it
             twos = starts[:-1][sizes[:-1] == 2]
+            twos = twos[twos > 0] if rest else twos
             twos = twos[np.bitwise_count(u[twos] ^ u[twos + 1]) <= MAX_BITS]
             members, firsts, hot = [u[twos + 1]], [u[twos]], []
-            for k in np.unique(np.append(np.flatnonzero(sizes > 2), len(sizes) - 1)):
+            for k in np.unique([*np.flatnonzero(sizes > 2), *([0] if rest else []), len(sizes) - 1]):
                 part = slice(starts[k], starts[k] + sizes[k])
                 key = tuple(data[starts[k], 2:])
                 if key == over or (sizes[k] > GROUP and not last):

@@ -187,6 +187,22 @@ def test_near_links_equal_brute_force(spark, monkeypatch):
         assert {n: found.get(n, n) for n in signed} == want
 
 
+@pytest.mark.parametrize("tail", [1, 2, 3])
+def test_hot_variants_keep_all_rows_at_batch_borders(spark, monkeypatch, tail):
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    hot = [(k << 20, 0, 1, 0) for k in range(6 + tail)]
+    rows = hot + [(5 << 40, 0, 2, 0), (7 << 40, 0, 2, 0), (1 << 60, 0, 3, 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        df = spark.createDataFrame(rows, "fp long, low long, k1 long, k2 long").coalesce(1).sortWithinPartitions("k1", "k2")
+        found = simhash._compare(df, last=False).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["fp"] for r in found if r["other"] is None) == sorted(x[0] for x in hot)
+    assert [(r["fp"], r["other"]) for r in found if r["other"] is not None] == [(7 << 40, 5 << 40)]
+
+
 def test_simhash_documents(spark):
     df = awkward(spark)
     rows = simhash.near_duplicates(df).collect()
