@@ -81,12 +81,12 @@ def apportion(units: DataFrame, seats: int, votes: str = "votes", limit: str = "
     return units.join(won, match, "left").select(*units.columns, (at(high) + F.coalesce(F.col("_more"), F.lit(0))).alias("quota"))
 
 
-def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard_words: int, max_repeats: int, seed: int) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, whole (times taken whole) and two part ranges of words."""
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard_words: int, max_repeats: int, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, whole (times taken whole), two part ranges of words, and the columns carried."""
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carried))
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
-    dealt = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "size", "source_size", "target", F.pmod(F.xxhash64("id", F.lit(seed)), shards).alias("shard"))
+    dealt = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "size", "source_size", "target", F.pmod(F.xxhash64("id", F.lit(seed)), shards).alias("shard"), *carried)
     units = dealt.groupBy("source", "shard").agg(F.sum("size").alias("unit_size"), F.max(F.struct("source_size", "target")).alias("s")).filter("unit_size > 0")
     units = cut(units.select("source", "shard", "unit_size", (F.col("s.target") * F.col("unit_size") / F.col("s.source_size")).alias("votes"), F.ceil(F.col("unit_size") * max_repeats / block).alias("limit")))
     total = units.agg(F.sum("unit_size")).first()[0] or 0
@@ -97,7 +97,7 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "unit_size", words.alias("_words"),
         (F.pmod(F.xxhash64("source", "shard", F.lit(seed)), blocks) * block).alias("_start"),
     )
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size", *carried)
     placed = dealt.withColumn("_off", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
     end = F.col("_off") + F.col("size")
@@ -115,6 +115,7 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block
         F.when(filled, F.floor(F.col("_words") / F.col("unit_size"))).otherwise(0).alias("whole"),
         F.when(filled, part(F.col("_start"), F.least(stop, F.col("unit_size")))).otherwise(none).alias("part1"),
         F.when(filled, part(F.lit(0).cast("long"), stop - F.col("unit_size"))).otherwise(none).alias("part2"),
+        *carried,
     )
 
 
@@ -128,12 +129,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options: int) -> DataFrame:
     """The mix itself, with the columns of docs: whole documents as often as they are taken whole, then their parts.
 
-    A part holds its words joined by single spaces, and its own length in length_col. Ids must not repeat.
+    A part holds its words joined by single spaces, and its own length in length_col. Rows meet their plan by a row number,
+    so ids may be null or repeat.
     """
     settings = {"block": BLOCK, "shard_words": SHARD_WORDS, "max_repeats": MAX_REPEATS, "seed": SEED} | options
-    plan = plan_mix(docs, id_col, text_col, source_col, **settings).filter("whole > 0 or part1.n > 0 or part2.n > 0")
-    plan = plan.select(F.col("id").alias("_id"), "whole", "part1", "part2")
-    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"]))
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    plan = plan_mix(numbered, id_col, text_col, source_col, **settings, carried=("_row",)).filter("whole > 0 or part1.n > 0 or part2.n > 0")
+    joined = numbered.join(plan.select("_row", "whole", "part1", "part2"), "_row")
     nothing = F.struct(F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("n"))
     copies = F.concat(F.array_repeat(nothing, F.col("whole").cast("int")), F.filter(F.array("part1", "part2"), lambda p: p["n"] > 0))
     each = joined.withColumn("_copy", F.explode(copies))

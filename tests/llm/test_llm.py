@@ -274,6 +274,21 @@ def test_mix_edge_cases(spark):
     assert mixing.mix(df.filter("text is null or text = ''")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark):
+    rows = [(None if k % 3 == 0 else k % 7, " ".join(f"w{k}x{j}" for j in range(5 + k)), "en", "ab"[k % 2], 0) for k in range(60)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {}
+    for r in mixing.mix(df, block=4).collect():  # sizes differ from row to row
+        want[r["size"]] = r["taken"]
+    found = dict.fromkeys(want, 0)
+    for r in mixing.mixed_documents(df, block=4).collect():
+        words = r["text"].split()
+        k = int(words[0].split("x")[0][1:])
+        assert r["doc_id"] == rows[k][0] and all(w.startswith(f"w{k}x") for w in words)
+        found[5 + k] += len(words)
+    assert found == want and any(want.values())
+
+
 # --- WARC
 
 
