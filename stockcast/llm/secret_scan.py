@@ -38,14 +38,18 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "private": 0.7, "auth": 0.7, "bearer": 0.9, "signature": 0.6, "key": 0.6, "salt": 0.6,
 }
 
-#: A cheap test that a text can hold a pair whose name, or whose constant's later name, is sensitive.
+#: A cheap test that a text, without what separates the words of a name, can hold a pair whose name, or whose
+#: constant's later name, is sensitive.
 _HINT = re.compile("|".join(sorted({"passw", "pwd", "passphrase", "secret", "token", "api", "credential", "private", "auth", "bearer", "signature", "key", "salt"})), re.IGNORECASE | re.ASCII)
+_JOINTS = re.compile(r"[_.-]+")
 
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)\x20*(?::=|=>|[:=])\x20*(?:"(?P<d>[^"\n]{1,512})"|'(?P<s>[^'\n]{1,512})'|(?P<bare>[A-Za-z0-9+/_.=@$-]{1,512}))"""
-    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,63})>(?P<body>[^<\n]{1,512})</(?P=tag)>"""
-    r"""|--(?P<flag>[A-Za-z][A-Za-z0-9-]{0,63})[=\x20](?P<arg>[A-Za-z0-9+/_.=@$-]{1,512})"""
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)\x20*(?::=|=>|[:=])\x20*(?:"(?P<d>[^"\n]++)"|'(?P<s>[^'\n]++)'|(?P<bare>[A-Za-z0-9+/_.=@$-]+))"""
+    r"""|<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,63})>(?P<body>[^<\n]++)</(?P=tag)>"""
+    r"""|--(?P<flag>[A-Za-z][A-Za-z0-9-]{0,63})[=\x20](?P<arg>[A-Za-z0-9+/_.=@$-]+)"""
 )
+#: Characters of an enclosed literal beyond which the pairs inside it are lexed too.
+_LONG = 512
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -68,11 +72,12 @@ def randomness(literal: str) -> float:
 
 def lex(text: str) -> list[tuple[str, int, int, str]]:
     """(name, start, end, value) of each pair, by position; value positions exclude quotes."""
-    out = []
-    for m in _PAIR.finditer(text):
+    out, at = [], 0
+    while m := _PAIR.search(text, at):
         name = m["name"] or m["tag"] or m["flag"]
         group = next(g for g in ("d", "s", "bare", "body", "arg") if m[g] is not None)
         out.append((name, *m.span(group), m[group]))
+        at = m.start(group) if group in ("d", "s", "body") and len(m[group]) > _LONG else m.end()
     return out
 
 
@@ -100,7 +105,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(text: str, min_score: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: the base ones and those literals that are no span of a base kind yet."""
     base = base_spans(text)
-    if not _HINT.search(text):
+    if not _HINT.search(_JOINTS.sub("", text)):
         return base, base
     taken = {(a, b) for a, _, b in base}
     return base, sorted([*base, *((a, 3, b) for a, b, _, _ in literals(text, min_score) if (a, b) not in taken)])

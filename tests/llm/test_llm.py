@@ -113,6 +113,20 @@ def test_constants_flow_to_sensitive_names():
     assert "kJ8sQ2vX0pLm" not in secret_scan.redact(text, secret_scan.scan(text, 0.5)[1])
 
 
+def test_long_literals_are_found_whole():
+    value = "".join(random.Random(3).choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=2000))
+    for text in (f'private_key="{value}";', f"private_key = '{value}'", f"private_key={value}\n", f"<privateKey>{value}</privateKey>", f"--private-key {value} x"):
+        assert value in {text[a:b] for a, b, _, _ in secret_scan.literals(text, 0.5)}
+        assert not any(value[k : k + 8] in secret_scan.redact(text, secret_scan.scan(text, 0.5)[1]) for k in (0, 600, 1992))
+    text = 'note = "' + "plain words " * 60 + "pwd=kJ8sQ2vX0pLm " + 'end"'
+    assert "kJ8sQ2vX0pLm" not in secret_scan.redact(text, secret_scan.scan(text, 0.5)[1])
+
+
+def test_joined_words_pass_the_hint():
+    for text in ('db_pass_word = "kJ8sQ2vX0pLm"', "PASS_PHRASE=kJ8sQ2vX0pLm", "to.ken: kJ8sQ2vX0pLm", "pas-sword=kJ8sQ2vX0pLm"):
+        assert secret_scan.literals(text, 0.5) and "kJ8sQ2vX0pLm" not in secret_scan.redact(text, secret_scan.scan(text, 0.5)[1])
+
+
 def test_secret_documents(spark):
     df = awkward(spark)
     assert secret_scan.scan_documents(df).count() == df.count()
