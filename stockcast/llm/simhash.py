@@ -173,28 +173,31 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _roots(marked: DataFrame) -> DataFrame:
+    """(fp, _root) for every fingerprint of marked; those that links reach share a root."""
+    distinct = marked.select("fp").distinct()
+    member = connected_components(near_links(distinct), "fp", "other")
+    return distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", F.coalesce("component", "fp").alias("_root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp, component_id), one row per document; component_id is the least id that links reach."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    member = connected_components(near_links(distinct.select("fp")), "fp", "other")
-    named = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
+    named = distinct.join(_roots(marked), "fp")
     roots = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return marked.join(named.join(roots, "_root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of each group, unchanged: that with the least id; rows that repeat an id are one row.
+    """One row of each group, unchanged: that with the least id, nulls last, and of those the least hash of the text.
 
-    A group whose ids are all null has no least id and keeps one row.
+    Rows that repeat an id are rows of their own.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    nameless = found.filter(F.col("component_id").isNull()).select("fp").limit(1).isEmpty()
-    if nameless:
-        return named
-    unnamed = cut(docs.filter(F.col(id_col).isNull()).withColumn("_id", F.xxhash64(text_col)))
-    groups = near_duplicates(unnamed.select("_id", text_col), "_id", text_col, shingle).join(found.filter(F.col("component_id").isNull()).select("fp").distinct(), "fp", "left_semi")
-    first = groups.groupBy("component_id").agg(F.min("_id").alias("_first")).select("_first")
-    return named.unionByName(unnamed.join(first, F.col("_id") == F.col("_first"), "left_semi").dropDuplicates(["_id"]).select(*docs.columns))
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    marked = cut(fingerprints(numbered, "_row", text_col, shingle))
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("_row").alias("row"))
+    ranked = marked.join(numbered.select("_row", order.alias("_order")), "_row")
+    least = ranked.groupBy("fp").agg(F.min("_order").alias("_order"))
+    kept = least.join(_roots(marked), "fp").groupBy("_root").agg(F.min("_order").alias("_order")).select(F.col("_order.row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)

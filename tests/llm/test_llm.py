@@ -228,6 +228,14 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_keep_one_keeps_unrelated_texts_of_one_id(spark):
+    texts = [" ".join(f"{c}{j}" for j in range(200)) for c in "xyz"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[0])]
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], DOCS)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect())
+    assert kept == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2])])
+
+
 # --- mixing
 
 
