@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own if the master is local, else an error."""
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference to that very column, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
