@@ -1,18 +1,20 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard, shard results merged.
 
-Nearness is the inner product. Vectors get one more component so that all have the norm of their shard's longest;
-then the largest inner product is also the least distance, and graph rules that need a metric hold.
-Equal vectors are indexed once, with the least ids of their copies. Vectors are dealt to shards of about
-SHARD by length, magnitude (bands of 2^BAND) and a hash of the id. A shard's graph is a few nested layers of flat neighbour arrays, built in
-batches: each batch searches the graph so far, keeps neighbours that lie in different directions, and is
-linked back. The index is one row per shard, kept in the checkpoint folder; to search, each shard's row is
-followed by the query vectors in one sorted stream, so a task holds one shard and one batch of queries.
+Nearness is the inner product. Equal vectors are indexed once, with the least ids of their copies. Vectors are dealt
+by a hash of the id to shards of at most SHARD_VALUES components or SHARD_LEAST rows, those of very different magnitude
+(bands of 2^BAND) apart. A shard's graph links directions: a few nested layers of flat neighbour arrays, built
+in batches, where each batch searches the graph so far, keeps neighbours that lie in different directions, and is
+linked back. A search walks that graph by inner product with the vectors themselves; it enters through the
+upper layers and through the best of the shard's longest vectors (one in LOUD), so that a few long
+vectors that lie in no near direction are found too. The index is one row per shard, kept in the checkpoint folder. Queries
+are packed into blocks; a task holds one shard and one block at a time, and at most SPLIT blocks go to one task.
 
 Every usable row is indexed. Scores are computed in double precision from the original vectors.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of
-different lengths are not compared; ties rank by id; repeated rows of one id are candidates of their own
-but a query never meets its own id; with fewer candidates than asked for, all are returned.
+Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null
+id; vectors of different lengths are not compared; ties, at the last rank too, go to the smaller id of those found; repeated rows
+of one id are candidates of their own but a query never meets its own id; with fewer candidates than asked for, all are returned;
+an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,18 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import cut
-from .metric_join import matrix, usable
+from .components import cut, quoted
+from .metric_join import matrix, unit, usable
 
-#: Rows of a shard, about; links of a node above the ground layer (twice that on it); beam widths; log2 width of a magnitude band.
-SHARD, LINKS, BUILD_BEAM, SEARCH_BEAM, BAND = 8192, 16, 64, 128, 4
-_AT_ONCE, _EXPAND = 256, 4
+#: Components and least rows of a shard; links of a node above the ground layer (twice that on it); beam widths; log2 width of a magnitude band.
+SHARD_VALUES, SHARD_LEAST, LINKS, BUILD_BEAM, SEARCH_BEAM, BAND = 2**21, 8192, 16, 64, 512, 16
+#: One in how many vectors, the longest, may be an entry; entries taken of them; queries of a block; blocks of a task.
+LOUD, ENTRIES, BLOCK, SPLIT = 16, 64, 1024, 64
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _at_once(dimensions: int) -> int:
+    """Queries that go in step, so that the vectors of their candidates fit in some 30 MB."""
+    return max(16, 16_384 // dimensions)
+
+
+def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The best nodes by inner product, (ids, scores) sorted downwards, -1 and -inf where fewer; queries go in step.
 
-    links: neighbour ids by node, -1 for none. entry: start nodes by query, -1 for none.
+    links: neighbour ids by node, -1 for none. entry: start nodes by query, -1 for none. expand: nodes opened at a time.
     """
     n, every = len(q), np.arange(len(q))[:, None]
     seen = np.zeros((n, len(links) + 1), bool)  # the last column stands for -1
@@ -62,7 +70,7 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarr
         live, open_scores = live[going], open_scores[going]
         if len(live):
             at = np.arange(len(live))[:, None]
-            best = np.argpartition(-open_scores, min(_EXPAND, width) - 1, axis=1)[:, :_EXPAND]
+            best = np.argpartition(-open_scores, min(expand, width) - 1, axis=1)[:, :expand]
             chosen = np.where(open_scores[at, best] > -np.inf, ids[live[:, None], best], -1)
             closed[live[:, None], best] = True
             fresh = np.where(chosen[:, :, None] >= 0, links[chosen], -1).reshape(len(live), -1).astype(np.int64)
@@ -137,8 +145,8 @@ class Graph:
             while done < size:
                 nodes = np.arange(done, min(size, done + min(1024, done)))
                 ids, scores = np.full((len(nodes), beam), -1, np.int64), np.full((len(nodes), beam), -np.inf, np.float32)
-                for at in range(0, len(nodes), _AT_ONCE):
-                    part = slice(at, at + _AT_ONCE)
+                for at in range(0, len(nodes), _at_once(x.shape[1])):
+                    part = slice(at, at + _at_once(x.shape[1]))
                     ids[part], scores[part] = beam_search(x, layer[:done], x[nodes[part]], graph.descend(x[nodes[part]]), beam)
                 dots = x[nodes] @ x[nodes].T
                 np.fill_diagonal(dots, -np.inf)
@@ -165,9 +173,11 @@ class Graph:
             entry = ids[:, :4]
         return entry
 
-    def search(self, q: np.ndarray, beam: int = SEARCH_BEAM) -> np.ndarray:
-        """Node ids by query, best first, -1 where fewer than beam."""
-        return beam_search(self.x, self.layers[0], q, self.descend(q, 1), beam)[0]
+    def search(self, q: np.ndarray, v: np.ndarray, loud: np.ndarray, beam: int = SEARCH_BEAM) -> np.ndarray:
+        """Node ids by query, those of the largest inner products with v's rows, -1 where fewer than beam; loud: nodes that may be entries."""
+        entry, width = self.descend(q, 1), min(ENTRIES, len(loud))
+        best = np.argpartition(-(q @ v[loud].T), width - 1, axis=1)[:, :width]
+        return beam_search(v, self.layers[0], q, np.concatenate([entry, loud[best]], axis=1), beam, 16)[0]
 
 
 def levels_of(ids: np.ndarray, links: int = LINKS) -> np.ndarray:
@@ -180,13 +190,6 @@ def levels_of(ids: np.ndarray, links: int = LINKS) -> np.ndarray:
     return np.minimum(8, (-np.log(u) / math.log(links)).astype(np.int64))
 
 
-def _augment(v: np.ndarray) -> np.ndarray:
-    """The rows over the longest norm, with a component that brings each to norm 1."""
-    v = v / np.abs(v).max()
-    v = v / (np.sqrt((v * v).sum(axis=1).max()) * (1 + 1e-9))
-    return np.concatenate([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
-
-
 _INDEX = "shard long, node binary, vector binary, sizes array<int>, links binary"
 
 
@@ -197,7 +200,7 @@ def build_index(classes: DataFrame) -> DataFrame:
         levels = levels_of(node)
         order = np.lexsort((node, -levels))
         node, v, levels = node[order], v[order], levels[order]
-        graph = Graph.build(_augment(v), levels)
+        graph = Graph.build(unit(v).astype(np.float32), levels)
         flat = np.concatenate([layer.ravel() for layer in graph.layers])
         row = [[shard], [node.tobytes()], [v.tobytes()], [[n for layer in graph.layers for n in layer.shape]], [flat.tobytes()]]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
@@ -224,63 +227,74 @@ def build_index(classes: DataFrame) -> DataFrame:
     return cut(dealt.mapInArrow(run, _INDEX))
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, node, score): each shard's k best for each (shard, query, vector) row of queries."""
+def search_index(index: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query, node, score): each shard's k best for the queries of each (shard, split, queries, asked) row of blocks.
+
+    index has a row (shard, split, ...) for every split that blocks has; ties go to the smaller node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, node, v = None, None, None
+        graph, node, v, scaled, loud = None, None, None, None, None
         for batch in batches:
-            heads = np.asarray(batch.column(2).is_valid())
-            at = 0
-            for stop in [*np.flatnonzero(heads).tolist(), batch.num_rows]:
-                while at < stop:
-                    part = batch.slice(at, min(_AT_ONCE, stop - at))
-                    at += part.num_rows
-                    if graph is None:
-                        continue
-                    q = matrix(part.column(6))
-                    scale = np.sqrt((q * q).sum(axis=1, keepdims=True))
-                    ids = graph.search(np.concatenate([q / scale, np.zeros((len(q), 1))], axis=1).astype(np.float32), max(SEARCH_BEAM, k))
-                    scores = np.where(ids >= 0, np.einsum("qd,qkd->qk", q, v[ids]), -np.inf)
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    row, column = np.nonzero(np.take_along_axis(ids, order, axis=1) >= 0)
-                    best = order[row, column]
-                    columns = [np.asarray(part.column(5))[row], node[ids[row, best]], scores[row, best]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "node", "score"])
-                if stop < batch.num_rows:
-                    node = np.frombuffer(batch.column(1)[stop].as_py(), np.int64)
-                    v = np.frombuffer(batch.column(2)[stop].as_py(), np.float64).reshape(len(node), -1)
-                    sizes, flat = batch.column(3)[stop].as_py(), np.frombuffer(batch.column(4)[stop].as_py(), np.int32)
+            for i in range(batch.num_rows):
+                if batch.column(3)[i].is_valid:
+                    node = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                    v = np.frombuffer(batch.column(3)[i].as_py(), np.float64).reshape(len(node), -1)
+                    sizes, flat = batch.column(4)[i].as_py(), np.frombuffer(batch.column(5)[i].as_py(), np.int32)
                     layers, used = [], 0
                     for n, width in zip(sizes[::2], sizes[1::2], strict=True):
                         layers.append(flat[used : used + n * width].reshape(n, width))
                         used += n * width
-                    graph, at = Graph(_augment(v), layers), stop + 1
+                    scaled = v / np.abs(v).max()
+                    loud = np.argsort(-(scaled * scaled).sum(axis=1), kind="stable")[: -(-len(v) // LOUD)]
+                    graph, scaled = Graph(unit(v).astype(np.float32), layers), scaled.astype(np.float32)
+                    continue
+                queries, asked = np.asarray(batch.column(6)[i].values), matrix(batch.column(7)[i].values)
+                for at in range(0, len(queries), _at_once(v.shape[1])):
+                    part = slice(at, at + _at_once(v.shape[1]))
+                    q = asked[part]
+                    ids = np.sort(graph.search(unit(q).astype(np.float32), scaled, loud, max(SEARCH_BEAM, k)), axis=1)
+                    scores = np.where(ids >= 0, np.einsum("qd,qkd->qk", q, v[ids]), -np.inf)
+                    order = np.argsort(np.where(ids >= 0, node[ids], np.iinfo(np.int64).max), axis=1, kind="stable")
+                    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(scores, order, axis=1), axis=1, kind="stable"), axis=1)[:, :k]
+                    row, column = np.nonzero(np.take_along_axis(ids, order, axis=1) >= 0)
+                    best = order[row, column]
+                    columns = [queries[part][row], node[ids[row, best]], scores[row, best]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "node", "score"])
 
-    asked = queries.select("shard", "query", F.col("vector").alias("asked"))
-    stream = index.unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("vector").isNull(), "query")
+    stream = index.select("shard", "split", "node", "vector", "sizes", "links").unionByName(blocks.select("shard", "split", "queries", "asked"), allowMissingColumns=True)
+    stream = stream.repartition("shard", "split").sortWithinPartitions("shard", "split", F.col("vector").isNull())
     return stream.mapInArrow(run, "query long, node long, score double")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest other rows of each row whose id is divisible by every."""
-    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).alias("vector"))
+    rows = rows.filter(usable("vector") & F.col("id").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>"))
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     classes = rows.withColumn("_n", first).filter(F.col("_n") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
     largest = F.array_max(F.transform("vector", F.abs))
     kinds = {"_dim": F.size("vector"), "_band": F.floor(F.log2(largest) / BAND)}
     classes = classes.withColumn("node", F.col("members")[0]).withColumns(kinds)
-    shards = classes.groupBy(F.col("_dim").alias("_d"), F.col("_band").alias("_b")).agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    shards = cut(shards)
+    size = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(SHARD_LEAST), F.lit(SHARD_VALUES) / F.col("_dim"))
+    shards = classes.groupBy("_dim", "_band").agg(F.ceil(F.count("*") / size).alias("shards"))
+    shards = cut(shards.select(F.col("_dim").alias("_d"), F.col("_band").alias("_b"), "shards"))
     sized = classes.join(shards, (F.col("_dim") == F.col("_d")) & (F.col("_band") == F.col("_b")))
     classes = cut(sized.select("node", "vector", "members", "_dim", F.xxhash64("_dim", "_band", F.pmod(F.xxhash64("node"), F.col("shards"))).alias("shard")))
     queries = rows.filter(F.col("id") % every == 0)
     named = queries.join(classes.select(F.col("vector").alias("_v"), F.col("node").alias("query")), F.col("vector") == F.col("_v")).select("id", "query")
     named = cut(named)
-    asked = classes.join(named.select("query").distinct(), F.col("node") == F.col("query"))
-    every_shard = shards.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("_d", F.xxhash64("_d", "_b", "_s").alias("_shard"))
-    asked = asked.join(every_shard, F.col("_dim") == F.col("_d")).select(F.col("_shard").alias("shard"), "query", "vector")
-    found = search_index(build_index(classes), asked, k + 1)
+    asked = cut(classes.join(named.select("query").distinct(), F.col("node") == F.col("query"), "left_semi").select("_dim", F.col("node").alias("query"), "vector"))
+    counts = asked.groupBy(F.col("_dim").alias("_d")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    packed = asked.join(counts, F.col("_dim") == F.col("_d")).withColumn("block", F.pmod(F.xxhash64("query", F.lit(1)), F.col("blocks")))
+    packed = packed.groupBy("_dim", "block").agg(F.sort_array(F.collect_list(F.struct("query", "vector"))).alias("_q"))
+    packed = packed.select("_dim", F.floor(F.col("block") / SPLIT).alias("split"), F.col("_q.query").alias("queries"), F.col("_q.vector").alias("asked"))
+    every_shard = shards.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("_d", F.xxhash64("_d", "_b", "_s").alias("shard"))
+    blocks = packed.join(every_shard, F.col("_dim") == F.col("_d")).select("shard", "split", "queries", "asked")
+    splits = every_shard.join(counts.withColumnRenamed("_d", "_e"), F.col("_d") == F.col("_e"))
+    splits = splits.select(F.col("shard").alias("_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / SPLIT))).alias("split"))
+    index = build_index(classes).join(splits, F.col("shard") == F.col("_shard"))
+    found = search_index(index, blocks, k + 1)
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
     found = found.withColumn("_n", best).filter(F.col("_n") <= k + 1).drop("_n")
     copies = found.join(classes.select(F.col("node").alias("_node"), "members"), F.col("node") == F.col("_node")).select("query", "score", F.explode("members").alias("hit"))
