@@ -2,8 +2,8 @@ r"""Mixing sources to target weights by Sainte-Lague apportionment.
 
 Sizes are words. Sources, in code point order with null last, weigh 1, 2, 3 in turn and share the total
 size by weight; no target exceeds ``max_repeats`` times its source, and what that leaves over is shared
-again by weight. Targets are met in blocks of ``block`` words. Each source is dealt to shards of about
-``shard_words`` words by a seeded hash, and the blocks of the whole mix go to (source, shard) units by
+again by weight. Targets are met in blocks of ``block`` words, fewer where the least target is under 32 such blocks. Each source is dealt to shards of about
+``shard_words`` words by a seeded hash of id and text, and the blocks of the whole mix go to (source, shard) units by
 highest quotients v / (2k - 1), where v is the unit's part of its source's target: integer quotas. Within a
 unit, documents stand in a seeded order; the quota is that many rounds through the unit's blocks plus a run
 of blocks from a seeded start. So reruns agree, and no document is taken more than ``max_repeats`` times.
@@ -11,7 +11,9 @@ of blocks from a seeded start. So reruns agree, and no document is taken more th
 A hot source only has more shards. Nothing but sums per multiplier reaches the driver.
 
 Edge cases: a null or empty text has size 0 and takes 0; sources whose documents are all empty have target
-0; an empty table gives an empty result; repeated ids are documents of their own; a null id is a value.
+0; an empty table gives an empty result; repeated ids are documents of their own; a null id is a value; a null source is one,
+the last; texts of any length are cut at words; rows alike in id and text are interchangeable and stand in one shard.
+Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import cut, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block and, about, of a shard; times that a document may be taken; the seed of all orders.
@@ -83,10 +85,14 @@ def apportion(units: DataFrame, seats: int, votes: str = "votes", limit: str = "
 
 def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard_words: int, max_repeats: int, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, source, size, source_size, target, whole (times taken whole), two part ranges of words, and the columns carried."""
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carried))
+    text = F.col(quoted(text_col))
+    sized = cut(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("hash"), *carried))
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats))
+    # a source that gets words gets 32 blocks at least, so that rounding moves it little
+    least = sources.filter("target > 0").agg(F.min("target")).first()[0]
+    block = max(1, min(block, int((least or 0) // 32)))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
-    dealt = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "size", "source_size", "target", F.pmod(F.xxhash64("id", F.lit(seed)), shards).alias("shard"), *carried)
+    dealt = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "size", "source_size", "target", F.pmod(F.xxhash64("id", "hash", F.lit(seed)), shards).alias("shard"), "hash", *carried)
     units = dealt.groupBy("source", "shard").agg(F.sum("size").alias("unit_size"), F.max(F.struct("source_size", "target")).alias("s")).filter("unit_size > 0")
     units = cut(units.select("source", "shard", "unit_size", (F.col("s.target") * F.col("unit_size") / F.col("s.source_size")).alias("votes"), F.ceil(F.col("unit_size") * max_repeats / block).alias("limit")))
     total = units.agg(F.sum("unit_size")).first()[0] or 0
@@ -97,7 +103,7 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "unit_size", words.alias("_words"),
         (F.pmod(F.xxhash64("source", "shard", F.lit(seed)), blocks) * block).alias("_start"),
     )
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size", *carried)
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", "hash", F.lit(seed + 1)), "id", "hash", "size", *carried)
     placed = dealt.withColumn("_off", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
     end = F.col("_off") + F.col("size")
@@ -133,13 +139,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so ids may be null or repeat.
     """
     settings = {"block": BLOCK, "shard_words": SHARD_WORDS, "max_repeats": MAX_REPEATS, "seed": SEED} | options
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = plan_mix(numbered, id_col, text_col, source_col, **settings, carried=("_row",)).filter("whole > 0 or part1.n > 0 or part2.n > 0")
+    plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column's name clashes with the plan's
+    text, length = F.col(plain[text_col]), plain.get(length_col)
+    numbered = cut(docs.toDF(*plain.values()).withColumn("_row", F.monotonically_increasing_id()))
+    plan = plan_mix(numbered, plain[id_col], plain[text_col], plain[source_col], **settings, carried=("_row",)).filter("whole > 0 or part1.n > 0 or part2.n > 0")
     joined = numbered.join(plan.select("_row", "whole", "part1", "part2"), "_row")
     nothing = F.struct(F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("n"))
     copies = F.concat(F.array_repeat(nothing, F.col("whole").cast("int")), F.filter(F.array("part1", "part2"), lambda p: p["n"] > 0))
     each = joined.withColumn("_copy", F.explode(copies))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), (F.col("_copy.first") + 1).cast("int"), F.col("_copy.n").cast("int"))
+    words = F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), (F.col("_copy.first") + 1).cast("int"), F.col("_copy.n").cast("int"))
     each = each.withColumn("_part", F.when(F.col("_copy.n") >= 0, F.array_join(words, " ")))
-    columns = {text_col: F.coalesce("_part", text_col), length_col: F.when(F.col("_part").isNotNull(), F.length("_part")).otherwise(F.col(length_col)).cast(dict(docs.dtypes).get(length_col, "long"))}
-    return each.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    columns = {plain[text_col]: F.coalesce("_part", text)}
+    if length:
+        columns[length] = F.when(F.col("_part").isNotNull(), F.length("_part")).otherwise(F.col(length)).cast(docs.schema[length_col].dataType)
+    return each.select(*(columns.get(c, F.col(c)).alias(c) for c in plain.values())).toDF(*docs.columns)
