@@ -13,7 +13,8 @@ links - one row per linked fingerprint - and components are joined up in Spark.
 
 Edge cases: null and empty texts, and texts of white space, have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle; a null id has its fingerprint and component but names none
-(components are named by the least non-null id); repeated ids are rows of their own.
+(components are named by the least non-null id); repeated ids are rows of their own; an empty table gives an
+empty result; texts of any length are read whole, in pieces; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, cut
+from .components import connected_components, cut, quoted
 
 MAX_BITS, GROUP = 3, 4096
+#: Fingerprints that one task makes variants of, about, and tasks at most.
+EXPANDED, MOST_TASKS = 16_384, 4000
 _PIECES = 65_536
 
 
@@ -161,7 +164,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("fp", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"))
     parts = []
     for width in (32, 16, 8):
-        shared = _expand(rows, width).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+        tasks = max(1, min(MOST_TASKS, -(-rows.count() // EXPANDED)))  # a number, as few bytes become many variants
+        shared = _expand(rows.repartition(tasks, "fp", "k1", "k2"), width).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
         found = cut(_compare(shared, last=width == 8))
         parts.append(found.filter(F.col("other").isNotNull()).select("fp", "other"))
         rows = found.filter(F.col("other").isNull()).select("fp", "low", "k1", "k2")
@@ -182,7 +186,8 @@ def _roots(marked: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp, component_id), one row per document; component_id is the least id that links reach."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    marked = cut(fingerprints(plain, "id", "text", shingle)).withColumnRenamed("id", id_col)
     distinct = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
     named = distinct.join(_roots(marked), "fp")
     roots = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
@@ -194,10 +199,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows that repeat an id are rows of their own.
     """
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    marked = cut(fingerprints(numbered, "_row", text_col, shingle))
-    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("_row").alias("row"))
+    plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column's name clashes with ours
+    numbered = cut(docs.toDF(*plain.values()).withColumn("_row", F.monotonically_increasing_id()))
+    marked = cut(fingerprints(numbered, "_row", plain[text_col], shingle))
+    name = F.col(plain[id_col])
+    order = F.struct(name.isNull().alias("unnamed"), name.alias("id"), F.xxhash64(plain[text_col]).alias("hash"), F.col("_row").alias("row"))
     ranked = marked.join(numbered.select("_row", order.alias("_order")), "_row")
     least = ranked.groupBy("fp").agg(F.min("_order").alias("_order"))
     kept = least.join(_roots(marked), "fp").groupBy("_root").agg(F.min("_order").alias("_order")).select(F.col("_order.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    return numbered.join(kept, "_row", "left_semi").select(*plain.values()).toDF(*docs.columns)
