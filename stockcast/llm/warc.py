@@ -1,20 +1,23 @@
 """WARC archives with an index: write records and their offsets, read selected byte ranges back.
 
 Writing: payload digests decide which record of equal payloads is the response (the largest id) and which
-revisit it. Pages are dealt to archives by a hash of their id; the task that holds an archive's pages
+revisit it. Pages are dealt to archives by a hash of id and payload; the task that holds an archive's pages
 writes one gzip member per record to the archive's file and yields the index row of each (archive, offset,
-length, id, url, digest, type). The index is kept in the shared folder; a lost task writes its file again
-under another attempt's name and renames it into place, so its rows and bytes stay the same.
+length, id, url, digest, type). The index is kept in the shared folder. An archive's records have one total order
+(id, digest, url), so a lost or repeated task writes the very same bytes; it writes under its attempt's name
+and renames the file into place only where there is none yet.
 
 Reading: index rows of the wanted records are sorted by (archive, offset) and neighbouring ranges less than
-``gap`` bytes apart are read in one piece, at most ``window`` bytes at a time; no archive is read or held whole.
+``gap`` bytes apart are read in one piece, at most ``window`` bytes at a time; no archive is read or held whole. The
+tasks of a read are a stated number, one per archive up to READ_TASKS, as an index has few bytes for much work.
 
 Archives are files in the folder of spark.checkpoint.dir, reached by its URI from each task, and the
-folder must be one that pyarrow.fs opens (local, hdfs, s3, gs).
+folder must be one that pyarrow.fs opens (local, hdfs, s3, gs). ``round_trip`` deletes them once they are read.
 
 Edge cases: a null payload is the empty payload; a null or odd url is written as an empty target URI; rows that
-repeat both id and payload are responses each; a null id is written as an empty id and can't be referred to;
-an empty table writes no file.
+repeat both id and payload are responses each; a null id is written as an empty id and can't be referred to: with others it
+revisits the largest, and where all ids of a payload are null all are responses; payloads of any length are records, one held
+at a time; an empty table writes no file and gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import cut, ensure_checkpoint_dir
+from .components import cut, ensure_checkpoint_dir, quoted
 
-#: Payload bytes of an archive, about; bytes between ranges that one read may span; bytes of a read.
-ARCHIVE_BYTES, GAP, WINDOW = 8_000_000, 65_536, 4_194_304
+#: Payload bytes of an archive, about, and archives of one write at most; bytes between ranges that one read may span; bytes of a read; tasks of a read at most.
+ARCHIVE_BYTES, MOST_ARCHIVES, GAP, WINDOW, READ_TASKS = 8_000_000, 20_000, 65_536, 4_194_304, 20_000
 #: Fixed value: all records carry one date, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "archive long, offset long, length long, page_id long, record_type string, payload_digest string, url string"
@@ -88,35 +91,38 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Equal payloads of min_bytes bytes and more become one response and revisits of it; smaller ones are responses.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    sums = cut(keyed.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")))
+    payload = F.coalesce(F.col(quoted(payload_col)), F.lit("")).cast("binary")
+    keyed = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    sums = cut(keyed.select("page_id", "sha", F.length("payload").alias("size")))
     total = sums.agg(F.sum("size")).first()[0] or 0
-    archive = F.pmod(F.xxhash64("page_id"), F.lit(max(1, -(-total // archive_bytes)))).alias("archive")
-    first = sums.filter(F.col("size") >= min_bytes).groupBy(F.col("sha").alias("_sha")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    revisits = sums.join(first, F.col("sha") == F.col("_sha")).filter("first <> page_id").select(archive, "page_id", "sha", "first").distinct()
+    archives = max(1, min(MOST_ARCHIVES, -(-total // archive_bytes)))
+    archive = F.pmod(F.xxhash64("page_id", "sha"), F.lit(archives)).alias("archive")
+    first = sums.filter(F.col("size") >= min_bytes).groupBy(F.col("sha").alias("_sha")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    revisits = sums.join(first, F.col("sha") == F.col("_sha")).filter("not (first <=> page_id)").select(archive, "page_id", "sha", "first").distinct()
     # what a page refers to travels beside it, so payloads are shuffled once, to their archives
-    stream = keyed.select(archive, "page_id", "url", "payload").unionByName(revisits, allowMissingColumns=True)
+    stream = keyed.select(archive, "page_id", "url", "payload", "sha").unionByName(revisits, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, attempt, archive, offset, place = None, TaskContext.get().taskAttemptId(), None, 0, None
-        holder, refers = None, {}  # what the pages of the current id refer to, by the payload's SHA-1
+        holder, refers_to = None, None  # the current id and payload, and what they refer to
 
         def close() -> None:
             if out is not None:
                 out.close()
-                place[0].move(place[2], place[1])
+                fs, path, written = place
+                if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                    fs.move(written, path)
+                else:  # another attempt has written the same bytes
+                    fs.delete_file(written)
 
         for batch in batches:
             rows: list[tuple] = []
             for values in zip(*batch.columns, strict=True):
                 number, page_id, url, data, sha, first_id = (x.as_py() for x in values)
-                if (number, page_id) != holder:
-                    holder, refers = (number, page_id), {}
+                if (number, page_id, sha) != holder:
+                    holder, refers_to = (number, page_id, sha), first_id
                 if data is None:
-                    refers[sha] = first_id
                     continue
-                refers_to = refers.get(hashlib.sha1(data).hexdigest()) if refers else None
                 if number != archive:
                     close()
                     archive, offset = number, 0
@@ -134,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
         close()
 
-    dealt = stream.repartition("archive").sortWithinPartitions("archive", "page_id", F.col("payload").isNotNull())
+    dealt = stream.repartition("archive").sortWithinPartitions("archive", "page_id", "sha", F.col("payload").isNotNull(), "url")
     return cut(dealt.mapInArrow(run, _INDEX))
 
 
@@ -183,7 +189,9 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, window: int = WI
                         rows.append((number(headers["WARC-Record-ID"]), kind, number(headers.get("WARC-Refers-To")), headers["WARC-Payload-Digest"].removeprefix("sha1:"), body if kind == "response" else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    sorted_rows = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    archives = index.agg(F.max("archive")).first()[0]
+    tasks = 1 if archives is None else min(READ_TASKS, archives + 1)
+    sorted_rows = index.select("archive", "offset", "length").repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
     return sorted_rows.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_digest string, payload binary")
 
 
@@ -211,6 +219,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([None if x is None else len(x) for x in read], pa.int64())], names=[*batch.schema.names[:4], "payload_bytes"])
 
     found = cut(records.mapInArrow(measure, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long"))
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:  # all records are read and kept above
+        fs.delete_dir(path)
     revisits = found.filter("record_type = 'revisit'").drop("payload_bytes")
     wanted = revisits.select(F.col("refers_to").alias("_wanted")).distinct()
     full = found.filter("record_type = 'response'").join(wanted, F.col("page_id") == F.col("_wanted"), "left_semi").groupBy(F.col("page_id").alias("_id")).agg(F.max("payload_bytes").alias("payload_bytes"))
