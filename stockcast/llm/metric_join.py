@@ -7,28 +7,32 @@ triangle inequality a neighbour of a vector at home in a cell of radius r is wit
 pivot, and within eps of the plane between its own pivot and that one: vectors that are get a copy in the
 cell. So each home vector meets all its neighbours in its own cell, and cells join independently.
 
-A cell's home vectors are dealt to blocks of about CELL rows; the cell's vectors stream past each block.
-A task holds one block and one batch, however large the label or cell. Per batch, links are counted by
+A cell's home vectors are dealt to blocks of about BLOCK rows; the cell's vectors stream past each block, so a
+vector is copied once per block that it may matter to.
+A task holds one block and one batch, however large the label or cell, and compares them in tiles. Per tile, links are counted by
 matrix product and thinned to a spanning set, so the links that leave a task are at most its rows.
 
 Edge cases: a null label, or a vector that is null, zero or holds null or non-finite components, links with
 nothing and is its own component; vectors of different lengths do not link; repeated rows are copies that
-link with each other; a null id counts as a vector and names no component.
+link with each other; a null id counts as a vector and names no component, unless all ids of a component are null,
+whose component_id is null then; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, cut
+from .components import connected_components, cut, quoted
 
-THRESHOLD, CELL, MOST_PIVOTS, GROUP = 0.93, 4096, 256, 16_384
+#: The least cosine; vectors of a cell, about; pivots of a label at most; rows of a salt; home rows of a block; rows of a tile.
+THRESHOLD, CELL, MOST_PIVOTS, GROUP, BLOCK, TILE = 0.93, 4096, 512, 16_384, 32_768, 4096
 #: Slack for rounding when cells are chosen; links themselves are decided by the cosine alone.
 SLACK = 1e-6
 
@@ -134,7 +138,7 @@ def _cells(classes: DataFrame, eps: float, cell: int) -> DataFrame:
             if pivots is not last:
                 last, p = pivots, unit(np.array([x["vector"] for x in pivots], np.float64))
                 radius = np.array([-np.inf if x["of"] is None else x["of"]["r"] for x in pivots])
-                blocks = np.array([0 if x["of"] is None else -(-x["of"]["n_home"] // cell) for x in pivots])
+                blocks = np.array([0 if x["of"] is None else -(-x["of"]["n_home"] // max(cell, BLOCK)) for x in pivots])
                 between = np.sqrt(np.maximum(1e-300, 2 - 2 * p @ p.T))
             node, x, home = np.asarray(part.column(3)), unit(matrix(part.column(5))), np.asarray(part.column(6))
             dots, every = x @ p.T, np.arange(len(x))
@@ -170,12 +174,13 @@ def _join(cells: DataFrame, threshold: float) -> DataFrame:
                 counts: list[tuple[int, int]] = []
 
                 def meet(left: np.ndarray, lx: np.ndarray, right: np.ndarray, rx: np.ndarray, rw: np.ndarray, counts: list = counts, links: list = links) -> None:
-                    for at in range(0, len(right), 1024):
-                        block = slice(at, at + 1024)
-                        near = (lx @ rx[block].T >= threshold) & (left[:, None] != right[None, block])
-                        total = near @ rw[block]
-                        counts += [(int(n), int(t)) for n, t in zip(left[total > 0], total[total > 0], strict=True)]
-                        links += spanning(near, left, right[block])
+                    for at, low in product(range(0, len(right), 1024), range(0, len(left), TILE)):
+                        block, tile = slice(at, at + 1024), slice(low, low + TILE)
+                        near = (lx[tile] @ rx[block].T >= threshold) & (left[tile, None] != right[None, block])
+                        if near.any():
+                            total = near @ rw[block]
+                            counts += [(int(n), int(t)) for n, t in zip(left[tile][total > 0], total[total > 0], strict=True)]
+                            links += spanning(near, left[tile], right[block])
 
                 fresh = ~guest
                 if fresh.any():  # home rows come first: the new ones meet those before them, and those them
@@ -198,7 +203,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     id that links reach, the own one included; kept marks vec_id = component_id.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(F.col(label_col).isNotNull() & usable(vector_col), F.col(vector_col).cast("array<double>")).alias("vector"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(vector_col)).alias("vector"), F.col(quoted(label_col)).alias("label"))
+    rows = rows.withColumn("vector", F.when(F.col("label").isNotNull() & usable("vector"), F.col("vector").cast("array<double>")))
     good = rows.filter("vector is not null")
     classes = good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
     # a class is named by its least id; one of null ids alone gets a negative name of its own
@@ -209,8 +215,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     member = connected_components(joined.filter("n is null"), "node", "other")
     found = classes.join(counts, F.col("node") == F.col("_n"), "left").drop("_n").join(member.withColumnRenamed("node", "_m"), F.col("node") == F.col("_m"), "left")
     found = found.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
-    names = found.filter("root < 0").groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_name"))
-    found = found.join(names, F.col("root") == F.col("_root"), "left").withColumn("component_id", F.when(F.col("root") >= 0, F.col("root")).otherwise(F.col("_name")))
+    # only components whose root is such a name of its own look it up
+    names = found.filter("root < 0").groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    columns = ["_label", "_vector", "n_links", "component_id"]
+    found = found.filter("root >= 0").withColumn("component_id", F.col("root")).select(*columns).union(found.filter("root < 0").join(names, F.col("root") == F.col("_root"), "left").select(*columns))
     marked = good.join(found, (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")))
     marked = marked.select("id", "n_links", "component_id").union(rows.filter("vector is null").select("id", F.lit(0).cast("long"), F.col("id").cast("long")))
     return marked.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
