@@ -10,7 +10,8 @@ Semantics follow rank-based BPE: a piece that is a vocabulary entry is that toke
 pair whose concatenation has the lowest rank merges first, the leftmost on ties.
 
 Edge cases: null text encodes as the empty text (no tokens); repeated rows are encoded each; a null
-``doc_id`` passes through; other columns of the input are ignored.
+``doc_id`` passes through; texts of any length are encoded whole; an empty table gives an empty result; other columns of
+the input are not read, so they may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .components import quoted
 
 #: Parts of texts kept in a worker's table of encodings, and their greatest length in characters.
 #: Both bound memory only: a part that is not kept is encoded again.
@@ -212,6 +216,6 @@ def encode_documents(
                 out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in fields)], names=[id_col, *out])
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_tokens long, " + "ids array<int>, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    source = docs.select(quoted(id_col), quoted(text_col))
+    added = "n_tokens long, " + "ids array<int>, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
+    return source.mapInArrow(run, T.StructType([source.schema[0], *T._parse_datatype_string(added)]))

@@ -20,7 +20,7 @@ neighbouring windows mostly share one, so about one position in 14 is an anchor.
 
 Edge cases: null text is the empty text; texts shorter than ``length`` lose nothing; equal texts lose all but
 that of the least id; rows that repeat an id don't count as smaller than each other; a null id counts as
-larger than all others; strings never cross documents; an empty table gives an empty result.
+larger than all others, as does 2^63 - 1, which stands for it; strings never cross documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Tokens in no section go to the section named by ``rest``, so that a document's s
 
 Edge cases: a null or empty text has no token and one empty ``rest`` row if it has no section; sections
 that are empty or lie beyond the text count 0; spans that overlap each count the tokens that start in them
-(``first``) or their shares; repeated rows are counted each.
+(``first``) or their shares; sections that are null or have a null bound are left out; repeated rows are counted each; a null id is a value;
+an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .bpe import codec
+from .components import quoted
 
 RULES = ("first", "share")
 
@@ -83,13 +86,12 @@ def count_sections(
 ) -> DataFrame:
     """(id_col, section, kind, start, end, n_tokens, doc_tokens), one row per section and one for what lies in none, if any.
 
-    sections_col: an array of structs (name, start, end); without it, sections are runs of lines of a kind.
+    sections_col: an array of structs with the fields name, start and end, in any order and among others; without it, sections are runs of lines of a kind.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     names = [id_col, "section", "kind", "start", "end", "n_tokens", "doc_tokens"]
-    source = docs.select(id_col, text_col, *([sections_col] if sections_col else []))
-    id_type = source.schema[id_col].dataType
+    source = docs.select(*(quoted(c) for c in (id_col, text_col, sections_col) if c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary_path, pattern)
@@ -102,7 +104,7 @@ def count_sections(
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
                 given = (batch.column(2)[i].as_py() or []) if sections_col else None
-                sections = line_sections(text) if given is None else [tuple(s.values()) for s in given if s and s["start"] is not None and s["end"] is not None]
+                sections = line_sections(text) if given is None else [(s["name"], s["start"], s["end"]) for s in given if s and s["start"] is not None and s["end"] is not None]
                 lengths = size_of[np.array(c.encode(text), np.int64)]
                 counts, none = attribute(text, lengths, sections, rule)
                 found = [(k, *s, n) for k, (s, n) in enumerate(zip(sections, counts.tolist(), strict=True))]
@@ -114,4 +116,4 @@ def count_sections(
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names=names)
 
-    return source.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, section long, kind string, start long, end long, n_tokens double, doc_tokens long")
+    return source.mapInArrow(run, T.StructType([source.schema[0], *T._parse_datatype_string("section long, kind string, start long, end long, n_tokens double, doc_tokens long")]))
