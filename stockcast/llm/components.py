@@ -33,6 +33,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job of ours has written and nothing will read again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
