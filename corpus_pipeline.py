@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stockcast.llm import bpe, language_id, mixing, secret_scan, simhash
-from stockcast.llm.components import ensure_checkpoint_dir
+from stockcast.llm.components import delete, ensure_checkpoint_dir
 
 #: The least margin between the two best languages: below it they are as good as tied.
 LEAST_MARGIN = 0.001
@@ -51,15 +51,17 @@ STAGES = [
     ("tokens", encode),
 ]
 
-#: Compression, SimHash components and BPE are beyond SQL; tests hold the stages against brute force.
+#: Compression, SimHash components and BPE are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each stage's rows kept below the checkpoint folder."""
+    """The stages applied to documents, each stage's rows kept below the checkpoint folder until the next one is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
