@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .components import quoted
+from .components import map_arrow, quoted
 
 #: Parts of texts kept in a worker's table of encodings, and their greatest length in characters.
 #: Both bound memory only: a part that is not kept is encoded again.
@@ -218,4 +218,4 @@ def encode_documents(
 
     source = docs.select(quoted(id_col), quoted(text_col))
     added = "n_tokens long, " + "ids array<int>, " * keep_ids + "ids_sha256 string, decoded_sha256 string"
-    return source.mapInArrow(run, T.StructType([source.schema[0], *T._parse_datatype_string(added)]))
+    return map_arrow(source, run, T.StructType([source.schema[0], *T._parse_datatype_string(added)]))

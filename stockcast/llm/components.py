@@ -8,9 +8,12 @@ and a sum per round.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,6 +36,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for frames whose columns may have any names: run sees them as c0, c1, ..."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that a job of ours has written and nothing will read again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

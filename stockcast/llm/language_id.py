@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .components import quoted
+from .components import map_arrow, quoted
 
 #: Bounds of the fit: documents sampled per language; bytes of whole documents after which a dictionary takes no more of them.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 112_640
@@ -52,7 +52,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     order = [F.col(c) for c in keys]
     part = F.row_number().over(Window.partitionBy("_lang", F.pmod("_t", F.lit(_PARTS))).orderBy(*order))
     every = Window.partitionBy("_lang").orderBy(*order)
-    ranked = lean.withColumn("_n", part).filter(F.col("_n") <= SAMPLE_DOCS).distinct().withColumn("_n", F.row_number().over(every)).filter(F.col("_n") <= SAMPLE_DOCS)
+    ranked = lean.distinct().withColumn("_n", part).filter(F.col("_n") <= SAMPLE_DOCS).withColumn("_n", F.row_number().over(every)).filter(F.col("_n") <= SAMPLE_DOCS)
     before = F.sum("_size").over(every.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     picked = ranked.withColumn("_before", before).filter(F.col("_before") < DICTIONARY_BYTES).drop("_n", "_size", "_before")
     texts = usable.drop("_size").join(F.broadcast(picked), ["_lang", *keys]).groupBy("_lang", *keys).agg(F.min("_text").alias("_text"))  # picked: SAMPLE_DOCS rows a language
@@ -102,9 +102,10 @@ def predict_documents(docs: DataFrame, dictionaries: dict[str, bytes], text_col:
         for batch in batches:
             found = [classifier.predict(x.as_py()) for x in batch.column(at)]
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_name, score_name])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
+    names = [*kept.columns, lang_name, score_name]
+    return map_arrow(kept, run, T.StructType([*kept.schema, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .components import quoted
+from .components import map_arrow, quoted
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "literal")
@@ -118,27 +118,33 @@ def _joined_pieces(text: str, at: int) -> tuple[list[Piece], int]:
 
 
 def _listed(text: str, at: int) -> tuple[list[list[Piece]], int]:
-    """The elements of the list that opens at a bracket; it ends at the closing one or before a head."""
+    """The elements of the list that opens at a bracket; it ends at the closing one or before a head.
+
+    Quoted literals without a comma between them are pieces of one.
+    """
     out: list[list[Piece]] = []
-    depth = 0
+    depth, apart = 0, True
     while at < len(text):
         c = text[at]
         if c in "[(":
-            depth, at = depth + 1, at + 1
+            depth, at, apart = depth + 1, at + 1, True
         elif c in "])":
             depth, at = depth - 1, at + 1
             if depth == 0:
                 break
         elif c == ",":
-            at += 1
+            at, apart = at + 1, True
         elif m := _SPACE.match(text, at):
             at = m.end()
         else:
             pieces, end = ([], at) if _IS_HEAD.match(text, at) else _joined_pieces(text, at)
             if not pieces:
                 break
-            out.append(pieces)
-            at = end
+            if apart or pieces[0][2] is not None:
+                out.append(pieces)
+            else:
+                out[-1] += pieces
+            at, apart = end, pieces[-1][2] is not None
     return out, at
 
 
@@ -308,7 +314,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"]
     source = docs.select(quoted(id_col), quoted(text_col))
     schema = T.StructType([source.schema[0], *T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")])
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", min_score: float = 0.5) -> DataFrame:
@@ -327,6 +333,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
             if length is not None:
                 old = batch.column(length)
                 columns[length] = pa.array([n if t is None else len(t) for t, n in zip(texts, old.to_pylist(), strict=True)], old.type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    docs_columns = docs.columns
+    return map_arrow(docs, run, docs.schema)

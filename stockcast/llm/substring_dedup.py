@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import cut, quoted
 
 LENGTH, GRAM, CHUNK = 50, 24, 4_000_000
 #: Bytes of candidate text that a bucket refines at a time; what shares an anchor is never split.
@@ -282,7 +282,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
         if ids:
             yield row()
 
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "chunk long, ids binary, sizes binary, text binary")
+    packed = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "chunk long, ids binary, sizes binary, text binary")
     return cut(packed)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import codec
-from .components import quoted
+from .components import map_arrow, quoted
 
 RULES = ("first", "share")
 
@@ -116,4 +116,4 @@ def count_sections(
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names=names)
 
-    return source.mapInArrow(run, T.StructType([source.schema[0], *T._parse_datatype_string("section long, kind string, start long, end long, n_tokens double, doc_tokens long")]))
+    return map_arrow(source, run, T.StructType([source.schema[0], *T._parse_datatype_string("section long, kind string, start long, end long, n_tokens double, doc_tokens long")]))
