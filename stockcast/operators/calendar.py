@@ -7,13 +7,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Events with a day of the year, and those whose date moves.
+#: Events with a day of the year.
 YEARLY_EVENTS = {"NewYear": "01-01", "ValentinesDay": "02-14", "StPatricksDay": "03-17", "IndependenceDay": "07-04", "Halloween": "10-31", "Christmas": "12-25"}
-MOVING_EVENTS = {
-    "Thanksgiving": "1995-11-23 1996-11-28 1997-11-27 1998-11-26 1999-11-25 2000-11-23 2001-11-22",
-    "LaborDay": "1995-09-04 1996-09-02 1997-09-01 1998-09-07 1999-09-06 2000-09-04 2001-09-03",
-    "Easter": "1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04 2000-04-23 2001-04-15",
-}
+#: Events on a weekday of a month: (month, weekday with Monday 0, which one).
+WEEKDAY_EVENTS = {"Thanksgiving": (11, 3, 4), "LaborDay": (9, 0, 1)}
 #: A day with a second event.
 SECOND_EVENTS = {"2000-07-04": "FoundersDay"}
 #: The holidays that move demand; the one on which stores close; days before and after in its window; the longest distance told.
@@ -23,11 +20,20 @@ CLOSING, BEFORE, AFTER, FARTHEST = "Christmas", 2, 1, 30
 BENEFIT_DAYS = {"CA": tuple(range(1, 11)), "TX": tuple(range(2, 15, 2)), "WI": tuple(range(3, 16, 3))}
 
 
+def easter(year: Column) -> Column:
+    """Easter Sunday of a year, by the Gregorian computus."""
+    century, golden = F.floor(year / 100), year % 19
+    epact = (century - F.floor(century / 4) - F.floor((8 * century + 13) / 25) + 19 * golden + 15) % 30
+    moon = epact - F.floor(epact / 28) * (1 - F.floor(29 / (epact + 1)) * F.floor((21 - golden) / 11))  # days from 21 March to the full moon
+    weekday = (year + F.floor(year / 4) + moon + 2 - century + F.floor(century / 4)) % 7
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (moon - weekday).cast("int"))
+
+
 def event_names(day: Column) -> Column:
-    """The name of a day's first event, or null."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, dates in MOVING_EVENTS.items():
-        out = out.when(day.cast("string").isin(*dates.split()), name)
+    """The name of a day's first event, or null; any year."""
+    out = F.when(day == easter(F.year(day)), "Easter")
+    for name, (month, weekday, which) in WEEKDAY_EVENTS.items():
+        out = out.when((F.month(day) == month) & (F.weekday(day) == weekday) & (F.ceil(F.dayofmonth(day) / 7) == which), name)
     for name, month_day in YEARLY_EVENTS.items():
         out = out.when(F.date_format(day, "MM-dd") == month_day, name)
     return out

@@ -41,6 +41,26 @@ def series_stats(df: DataFrame, cutoff: date) -> DataFrame:
     return stats.join(zero_runs(past), "id").withColumn("demand_class", demand_class(F.col("adi"), F.col("cv2")))
 
 
+def stats_summary(stats: DataFrame) -> DataFrame:
+    """(item_id, n_series, least_mean, most_mean, least_zero, most_zero, n_classes, classes): ranges and classes of an item's series."""
+    return stats.groupBy("item_id").agg(
+        F.count("*").alias("n_series"), F.min("mean_sales").alias("least_mean"), F.max("mean_sales").alias("most_mean"), F.min("zero_rate").alias("least_zero"), F.max("zero_rate").alias("most_zero"),
+        F.countDistinct("demand_class").alias("n_classes"), F.array_join(F.sort_array(F.collect_set("demand_class")), ", ").alias("classes"),
+    )
+
+
+def zero_rates(stats: DataFrame) -> DataFrame:
+    """(store_id, item_id, zero_rate, mean_sales, place): series that have a place on the class map, the busiest first."""
+    finite = F.col("adi").isNotNull() & F.col("cv2").isNotNull() & (F.abs("adi") < float("inf")) & (F.abs("cv2") < float("inf"))
+    place = F.row_number().over(Window.orderBy(F.desc("mean_sales"), "id"))  # one row per series
+    return stats.filter(finite).select("store_id", "item_id", "zero_rate", "mean_sales", place.alias("place")).orderBy("place")
+
+
+def worst_zero_runs(df: DataFrame, n: int = 5) -> DataFrame:
+    """The n series with the longest runs of days without sales."""
+    return zero_runs(df).orderBy(F.desc("max_zero_run"), "id").limit(n)
+
+
 def class_table(stats: DataFrame, stores: list[str]) -> DataFrame:
     """(item_id, one column per store) of demand classes."""
     return stats.groupBy("item_id").pivot("store_id", stores).agg(F.first("demand_class"))

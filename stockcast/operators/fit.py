@@ -40,11 +40,14 @@ def _one_thread() -> None:
         os.environ[name] = "1"
 
 
-def _chunked(df: DataFrame, cfg: Config, keys: list[str], groups: int) -> DataFrame:
-    """Copies rows to each chunk of folds and deals the groups over tasks; the number is explicit so that
-    small groups with much work aren't put together."""
-    chunks = -(-cfg.n_folds // FOLDS_PER_TASK)
-    return df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(max(1, min(groups * chunks, 2000)), *keys, "chunk")
+def _chunked(df: DataFrame, cfg: Config, last: date, keys: list[str], groups: int, day: str, ahead: int) -> DataFrame:
+    """Copies rows to each chunk of folds that can use them - those up to ahead days after its last origin - and deals the groups over
+    tasks; the number is explicit so that small groups with much work aren't put together."""
+    origins = cfg.origins(last)
+    ends = [origins[min(k + FOLDS_PER_TASK, cfg.n_folds) - 1] for k in range(0, cfg.n_folds, FOLDS_PER_TASK)]
+    chunks = F.array(*(F.struct(F.lit(k).alias("chunk"), F.lit(e).alias("end")) for k, e in enumerate(ends)))
+    copies = df.withColumn("_c", F.explode(F.filter(chunks, lambda c: F.col(day) <= F.date_add(c["end"], ahead))))
+    return copies.withColumn("chunk", F.col("_c.chunk")).drop("_c").repartition(max(1, min(groups * len(ends), 2000)), *keys, "chunk")
 
 
 def _rows(series: str, fold: int, method: str, values: np.ndarray, fallback: bool) -> pd.DataFrame:
@@ -81,7 +84,7 @@ def series_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, n_s
     origins, h, season = _origins(cfg, last), cfg.test_window, cfg.season
     rows = features.regressors(panel).select("id", "date", "sales", *REGRESSORS)
     if method != "ets":
-        rows = rows.join(series_orders(panel, cfg, last, method), "id")
+        rows = rows.join(series_orders(panel, cfg, last, method), "id", "left")
 
     def forecast(y: np.ndarray, x: np.ndarray, ahead: np.ndarray, order: tuple | None) -> np.ndarray:
         if method == "ets":
@@ -97,7 +100,11 @@ def series_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, n_s
         _one_thread()
         pdf = pdf.sort_values("date")
         days, y, x = pdf["date"].to_numpy().astype("datetime64[D]"), pdf["sales"].to_numpy(float), pdf[list(REGRESSORS)].to_numpy(float)
-        order = tuple(int(v) for v in pdf[["p", "q", "sp", "sq"]].iloc[0]) if method != "ets" else None
+        order = None
+        if method != "ets":
+            if pdf["p"].isna().any():
+                raise RuntimeError(f"series {pdf['id'].iloc[0]} is scored but has no order")
+            order = tuple(int(v) for v in pdf[["p", "q", "sp", "sq"]].iloc[0])
         out = []
         for k, origin in origins:
             n = int(np.searchsorted(days, origin, side="right"))
@@ -115,7 +122,7 @@ def series_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, n_s
             out.append(_rows(pdf["id"].iloc[0], k, method, np.maximum(values, 0), fallback))
         return pd.concat(out) if out else _rows("", 0, method, np.empty(0), False)
 
-    return _chunked(rows, cfg, ["id"], n_series).groupBy("id", "chunk").applyInPandas(run, OUT)
+    return _chunked(rows, cfg, last, ["id"], n_series, "date", h).groupBy("id", "chunk").applyInPandas(run, OUT)
 
 
 def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, settings: gbt.Settings | None = None, n_groups: int = 64) -> DataFrame:
@@ -167,7 +174,7 @@ def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, setti
                 out.append(pd.DataFrame({"id": pdf["id"][ask].to_numpy(), "fold": k, "method": label, "horizon": pdf["horizon"][ask].to_numpy(np.int32), "forecast": v, "fallback": fallback}))
         return pd.concat(out) if out else _rows("", 0, method, np.empty(0), False)
 
-    made = _chunked(rows, cfg, ["pool"], n_groups).groupBy("pool", "chunk").applyInPandas(run, OUT)
+    made = _chunked(rows, cfg, last, ["pool"], n_groups, "origin_date", 0).groupBy("pool", "chunk").applyInPandas(run, OUT)
     return made.filter(F.col("horizon") <= h)
 
 
@@ -180,6 +187,12 @@ def predictions(panel: DataFrame, cfg: Config, last: date, made: DataFrame) -> D
     )
 
 
+def in_order(predictions: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """Sorted by method, in the order asked for (levels of one method by name), then id, fold and horizon."""
+    place = F.coalesce(*(F.when((F.col("method") == m) | F.col("method").startswith(m.replace("_quantile", "_q")) & F.lit(m.endswith("_quantile")), F.lit(k)) for k, m in enumerate(methods)))
+    return predictions.orderBy(place, "method", "id", "fold", "horizon")
+
+
 def run(panel: DataFrame, cfg: Config, last: date, methods: tuple[str, ...], settings: gbt.Settings | None = None) -> DataFrame:
     """Predictions of benchmarks and fitted methods together, in one long table."""
     bench = tuple(m for m in methods if m in folds.BENCHMARKS)

@@ -88,6 +88,11 @@ def summarise_quantiles(scored: DataFrame, week_kind: str | None = None, by: tup
     )
 
 
+def tau_lines(summary: DataFrame, method: str) -> DataFrame:
+    """(tau, pinball_rel, coverage) of one method, by level."""
+    return summary.filter(F.col("method") == method).select("tau", "pinball_rel", "coverage").orderBy("tau")
+
+
 def ranking_by_tau(summary: DataFrame, by: str = "method", taus: tuple[float, ...] = TAUS) -> DataFrame:
     """(by, one column per level): mean relative pinball; the 0.5 column orders the methods."""
     named = summary.withColumn("_t", F.concat(F.lit("q"), F.round(F.col("tau") * 100).cast("int").cast("string")))

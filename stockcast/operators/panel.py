@@ -86,17 +86,16 @@ def assert_daily_grid(df: DataFrame) -> DataFrame:
     return df
 
 
-def load_panel(spark: SparkSession, sf_dir: str, kind: str = "dense", price: bool = False, trim: bool = False, impute: bool = True, cfg: Config | None = None) -> DataFrame:
+def load_panel(spark: SparkSession, sf_dir: str, kind: str = "dense", price: bool = False, trim: bool = False, impute: bool = True, cfg: Config | None = None, span: tuple[date, date] | None = None) -> DataFrame:
     """Sales on the full grid with calendar facts; closed days sell 0 and are imputed.
 
     Columns: id, item_id, dept_id, cat_id, store_id, state_id, date, sales, is_filled, event names, holiday
-    distances, closure, snap, and sell_price if asked for.
+    distances, closure, snap, and sell_price if asked for. span: first and last day, if they are known.
     """
     rows = retail.lines(spark, sf_dir, kind)
     if cfg is not None:
         rows = select_series(rows.withColumns({"dept_id": F.col("item_id"), "cat_id": F.col("item_id")}), cfg).drop("dept_id", "cat_id")
-    last = retail.last_date(spark, sf_dir)
-    first = retail.table(spark, sf_dir, "lineitem").agg(F.min(retail.day("l_shipdate"))).first()[0]
+    first, last = span or retail.date_span(spark, sf_dir)
     days = calendar.holiday_distance(calendar.day_frame(spark, first, last + timedelta(days=40)))
     df = fill_grid(retail.daily_sales(rows), last).join(F.broadcast(days), "date")
     df = calendar.snap_flag(df).withColumn("sales", F.when(F.col("closure"), 0.0).otherwise(F.col("sales")))

@@ -67,18 +67,18 @@ def gain_columns() -> list[Column]:
 
 def improvement_over(scores: DataFrame, benchmark: str = REFERENCE, kind: str | None = None) -> DataFrame:
     """Win rate and gain of each method over one benchmark, on folds where both are scored."""
-    if benchmark not in BENCHMARKS:
+    if benchmark not in BENCHMARKS and scores.filter(F.col("method") == benchmark).isEmpty():
         raise ValueError(f"unknown benchmark {benchmark!r}")
     return paired(weeks(scores, kind), (benchmark,)).withColumn("gain", gain()).groupBy("method").agg(*gain_columns())
 
 
-def summarise(scores: DataFrame) -> DataFrame:
-    """One row per method: mean and median rmsse, bias, counts (n_folds includes unscored ones, n_valid not), and by week kind."""
+def summarise(scores: DataFrame, by: tuple[str, ...] = ("method", "kind")) -> DataFrame:
+    """One row per method, or other keys (one called n_folds comes out as _n_folds): mean and median rmsse, bias, counts (n_folds includes unscored ones, n_valid not), and by week kind."""
     by_kind = []
     for k in WEEK_KINDS:
         of = F.when(F.col("week_kind") == k, F.col("rmsse"))
         by_kind += [F.avg(of).alias(f"rmsse_{k}"), F.count(of).alias(f"n_{k}")]
-    return scores.groupBy("method", "kind").agg(
+    return scores.groupBy(*(F.col(c).alias("_n_folds" if c == "n_folds" else c) for c in by)).agg(
         F.avg("rmsse").alias("rmsse_mean"), F.percentile("rmsse", F.lit(0.5)).alias("rmsse_median"), F.avg("bias").alias("bias_mean"), F.count("*").alias("n_folds"),
         F.count("rmsse").alias("n_valid"), F.count_if("unscored").alias("n_unscored"), F.count_if("fallback").alias("n_fallback"), *by_kind,
     )
@@ -146,6 +146,12 @@ def forecast_difference(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) ->
     )
 
 
+def scale_change(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, scale_a, scale_b, change_pct): how much a series' scale moved between two prediction tables."""
+    of = [x.groupBy("id").agg(F.min("scale").alias(f"scale_{n}")) for x, n in ((a, "a"), (b, "b"))]
+    return of[0].join(of[1], "id").withColumn("change_pct", (F.try_divide("scale_b", "scale_a") - 1) * 100)
+
+
 def identity_gate(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether two prediction tables have the same keys, the rows only in one, and their largest difference."""
     keys = ["id", "fold", "method", "horizon"]

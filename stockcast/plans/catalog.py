@@ -6,13 +6,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, timedelta
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, suite_config
 from ..models import gbt
 from ..operators import calendar, explore, features, fit, folds, order, panel, registry, scoring
-from ..sources import retail
+from ..sources import files, retail
 from ..streaming import hourly
 
 WEEKLY, DEV, TWO_YEAR = suite_config("weekly"), Config(n_folds=8), suite_config("two_year")
@@ -35,18 +36,22 @@ class Data:
         self.spark, self.sf_dir, self.kind, self.cfg = spark, sf_dir, kind, cfg
         self.options = options
 
+    @property
+    def span(self) -> tuple[date, date]:
+        if not hasattr(self, "_span"):
+            self._span = retail.date_span(self.spark, self.sf_dir)
+        return self._span
+
     @property
     def last(self) -> date:
-        if not hasattr(self, "_last"):
-            self._last = retail.last_date(self.spark, self.sf_dir)
-        return self._last
+        return self.span[1]
 
     @property
     def holdout(self) -> date:
         return self.cfg.holdout_start(self.last)
 
     def panel(self) -> DataFrame:
-        return panel.load_panel(self.spark, self.sf_dir, self.kind, **self.options)
+        return panel.load_panel(self.spark, self.sf_dir, self.kind, span=self.span, **self.options)
 
     def predictions(self, methods: tuple[str, ...] = folds.BENCHMARKS) -> DataFrame:
         return folds.walk_forward(self.panel(), self.cfg, self.last, methods)
@@ -93,9 +98,10 @@ def grid_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unpivot_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retail.lines(spark, sf_dir, "dense").filter(F.year("date") == 1998)
-    wide = rows.groupBy("id", "store_id").agg(*(F.sum(F.when(F.month("date") == k, F.col("quantity"))).alias(f"d_{k}") for k in range(1, 13)))
-    return panel.unpivot_sales(wide, ["id", "store_id"])
+    """All order lines, folded to one column per month of the year and unfolded again."""
+    rows = retail.lines(spark, sf_dir, "dense").withColumn("year", F.year("date"))
+    wide = rows.groupBy("id", "store_id", "year").agg(*(F.sum(F.when(F.month("date") == k, F.col("quantity"))).alias(f"d_{k}") for k in range(1, 13)))
+    return panel.unpivot_sales(wide, ["id", "store_id", "year"])
 
 
 @query
@@ -104,8 +110,8 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = retail.table(spark, sf_dir, "lineitem").agg(F.min(retail.day("l_shipdate"))).first()[0]
-    return calendar.holiday_distance(calendar.day_frame(spark, first, retail.last_date(spark, sf_dir) + timedelta(days=40)))
+    first, last = retail.date_span(spark, sf_dir)
+    return calendar.holiday_distance(calendar.day_frame(spark, first, last + timedelta(days=40)))
 
 
 @query
@@ -214,9 +220,12 @@ def arima_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day among the rows that each fold's features saw, beside its first target."""
     d = Data(spark, sf_dir)
-    rows = folds.fold_targets(d.panel(), d.cfg, d.last).groupBy("id", "fold", "origin").agg(F.min("target_date").alias("first_target"), F.max("origin").alias("last_history"))
-    return folds.assert_no_leakage(rows)
+    rows = d.panel()
+    targets = folds.fold_targets(rows, d.cfg, d.last).groupBy("id", "fold", "origin").agg(F.min("target_date").alias("first_target"))
+    seen = rows.select("id", F.col("date").alias("origin"), F.max("date").over(panel.rows_between(max(features.WINDOWS))).alias("last_history"))
+    return folds.assert_no_leakage(targets.join(seen, ["id", "origin"]).select("id", "fold", "origin", "first_target", "last_history"))
 
 
 def _bench(method: str) -> None:
@@ -516,44 +525,136 @@ def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.identity_gate(d.predictions(), d.predictions().filter("fold < 50"))
 
 
-def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold scores of three recorded runs per method: a weekly one, a later one that is better on even folds, and a short one."""
-    weekly = Data(spark, sf_dir).scores()
-    better = weekly.withColumns({c: F.when(F.col("fold") % 2 == 0, F.col(c) * 0.9).otherwise(F.col(c)) for c in ("rmsse", "rmse")})
-    short = Data(spark, sf_dir, cfg=DEV).scores()
-    out = None
-    for rows, suite, code, day in ((weekly, "weekly", "c1", 1), (better, "weekly", "c2", 2), (short, "dev", "c1", 3)):
-        named = rows.withColumns({"suite": F.lit(suite), "code": F.lit(code), "recorded_at": F.lit(date(2024, 1, day))})
-        out = named if out is None else out.unionByName(named)
-    return out
+#: The runs that the registry queries see. (code, day of January 2024, pooled, what happens to the errors of a fold.)
+RUNS = (("c1", 1, False, "same"), ("c2", 2, False, "even folds better"), ("c2", 4, True, "all better"), ("c3", 5, False, "even folds better"), ("c4", 6, False, "two folds in five worse"))
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(fold scores with their runs, benchmark scores by layout): several runs of each benchmark on the weekly layout, one on the short one.
+
+    The walk-forward runs once per layout and is kept; the runs are made of its scores.
+    """
+    weekly, short = (Data(spark, sf_dir, cfg=c).scores().persist(StorageLevel.DISK_ONLY) for c in (WEEKLY, DEV))
+    change = {"same": F.lit(1.0), "even folds better": F.when(F.col("fold") % 2 == 0, 0.9).otherwise(1.0), "all better": F.lit(0.95), "two folds in five worse": F.when(F.col("fold") % 5 < 2, 1.4).otherwise(1.0)}
+    out = registry.with_run(short, DEV, "c1", date(2024, 1, 3))
+    for code, day, pooled, what in RUNS:
+        rows = weekly.withColumns({c: F.col(c) * change[what] for c in ("rmsse", "rmse")})
+        out = out.unionByName(registry.with_run(rows, replace(WEEKLY, pool_by="item_id" if pooled else None), code, date(2024, 1, day)))
+    bench = registry.with_run(weekly, WEEKLY, "", None).select("layout_json", "id", "fold", "method", "rmsse").unionByName(registry.with_run(short, DEV, "", None).select("layout_json", "id", "fold", "method", "rmsse"))
+    return out, bench
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run table, with seconds and a note."""
+    rows = registry.run_rows(*_recorded(spark, sf_dir))
+    return rows.withColumns({"run_seconds": F.length("method") * 10.0, "note": F.when(F.col("code_digest") != "c1", F.concat(F.lit("refit "), "code_digest"))})
 
 
 @query
 def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.run_rows(_recorded(spark, sf_dir))
+    return registry.run_rows(*_recorded(spark, sf_dir)).drop("config_json", "layout_json")
 
 
 @query
 def fold_score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.fold_score_rows(_recorded(spark, sf_dir))
+    return registry.fold_score_rows(_recorded(spark, sf_dir)[0])
 
 
 @query
 def predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.predecessors(registry.run_rows(_recorded(spark, sf_dir)))
+    return registry.predecessors(_runs(spark, sf_dir)).drop("config_json")
 
 
 @query
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _recorded(spark, sf_dir)
-    runs = scores.select(registry.run_id(*registry.RUN_KEY).alias("run_id"), "suite", "method", "recorded_at").distinct()
+    scores = _recorded(spark, sf_dir)[0]
+    runs = scores.select("run_id", "method", "config_json", "recorded_at").distinct()
     pairs = registry.predecessors(runs).filter("predecessor is not null").select(F.col("predecessor").alias("run_a"), F.col("run_id").alias("run_b"))
     return registry.compare_runs(registry.fold_score_rows(scores), pairs)
 
 
+@query
+def match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs noted as a refit with the latest other run of the same method, layout and pool."""
+    rows = _runs(spark, sf_dir)
+    return registry.matched(rows.filter("note like 'refit c3%'"), rows)
+
+
+@query
+def record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run table after recording all runs where the first two codes are on record already: first rows stay, notes are appended."""
+    rows = _runs(spark, sf_dir).select("run_id", "method", "suite", "code_digest", "recorded_at", "note")
+    known, again = rows.filter("code_digest in ('c1', 'c2')"), rows.withColumns({"recorded_at": F.date_add("recorded_at", 30), "note": F.lit("again")})
+    return registry.add_notes(known, again).unionByName(registry.new_runs(known, again))
+
+
+@query
+def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached runs that are not on record, where the runs of one code were recorded: a new config or code of a known method counts as missing."""
+    rows = _runs(spark, sf_dir)
+    found = rows.select("run_id", "method", F.col("code_digest").alias("code"), F.col("pool_by"))
+    return files.not_recorded(found, rows.filter("code_digest = 'c2' and pool_by is null"))
+
+
+@query
+def refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.refreshed(_runs(spark, sf_dir), {"naive": "c2", "mean": "c1", "drift": "c9"}).select("run_id", "method", "code_digest", "code_current")
+
+
+@query
+def same_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of runs of one method whose configs agree on the fields that both have; the pooled ones have lost that field."""
+    rows = _runs(spark, sf_dir).select("run_id", "method", F.when(F.col("pool_by").isNotNull(), F.regexp_replace("config_json", ', "pool_by": "[^"]*"', "")).otherwise(F.col("config_json")).alias("c"))
+    both = rows.alias("a").join(rows.alias("b"), F.expr("a.method = b.method and a.run_id < b.run_id"))
+    return both.filter(registry.same_config(F.col("a.c"), F.col("b.c"))).select(F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"))
+
+
+@query
+def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, bench = _recorded(spark, sf_dir)
+    current = registry.latest(registry.run_rows(scores, bench))
+    return registry.labelled(registry.fold_score_rows(scores), current).groupBy("run_id", "label", "suite").agg(F.count("*").alias("n"), F.avg("rmsse").alias("rmsse"))
+
+
+@query
+def stage_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = [("yearly", "seasonal_naive_364", None), ("level", "moving_average_28", None), ("pooled level", "moving_average_28", "item_id")]
+    return registry.progression(registry.latest(_runs(spark, sf_dir)), stages, "rmsse_mean")
+
+
+@query
+def run_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.minutes(_runs(spark, sf_dir))
+
+
+@query
+def scale_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scale_change(Data(spark, sf_dir).predictions(("naive",)), Data(spark, sf_dir, cfg=DEV).predictions(("naive",)))
+
+
+@query
+def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.stats_summary(_stats(spark, sf_dir, "mid"))
+
+
+@query
+def zero_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.zero_rates(_stats(spark, sf_dir, "mid"))
+
+
+@query
+def worst_zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.worst_zero_runs(Data(spark, sf_dir, "sparse").panel())
+
+
+@query
+def tau_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.tau_lines(order.summarise_quantiles(order.score_quantiles(_quantiles(spark, sf_dir))), "seasonal_naive")
+
+
 def _registry_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    scores = _recorded(spark, sf_dir)
-    frames = {"runs": registry.run_rows(scores)} | ({"folds": registry.fold_score_rows(scores)} if "{folds}" in text else {})
+    scores, bench = _recorded(spark, sf_dir)
+    frames = {"runs": registry.run_rows(scores, bench)} | ({"folds": registry.fold_score_rows(scores)} if "{folds}" in text else {})
     return spark.sql(text, args={"code": "c1"}, **frames)
 
 
@@ -574,7 +675,7 @@ def registry_holiday_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.latest(registry.run_rows(_recorded(spark, sf_dir))).select("suite", "method", "code", "run_id", "recorded_at", "rmsse_mean")
+    return registry.latest(_runs(spark, sf_dir)).select("suite", "method", "pool_by", "code_digest", "run_id", "recorded_at", "rmsse_mean")
 
 
 #: Fitted methods run over few folds here and boost few rounds: a query shows the method, a study sets its own layout.

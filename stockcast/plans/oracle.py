@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import replace
 
+from ..config import Config, suite_config, suite_of
 from ..operators import calendar as cal
 
 P: dict[str, str] = {}
+#: The dates of moving events in the years of the tables, as published.
+MOVING_EVENTS = {
+    "Thanksgiving": "1995-11-23 1996-11-28 1997-11-27 1998-11-26 1999-11-25 2000-11-23 2001-11-22",
+    "LaborDay": "1995-09-04 1996-09-02 1997-09-01 1998-09-07 1999-09-06 2000-09-04 2001-09-03",
+    "Easter": "1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04 2000-04-23 2001-04-15",
+}
 ORACLES: dict[str, str] = {}
 
 
@@ -18,7 +27,7 @@ def _list(values: object) -> str:
     return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
 
 
-_first = _case([(f"strftime(date, '%Y-%m-%d') IN ({_list(d.split())})", n) for n, d in cal.MOVING_EVENTS.items()] + [(f"strftime(date, '%m-%d') = '{d}'", n) for n, d in cal.YEARLY_EVENTS.items()])
+_first = _case([(f"strftime(date, '%Y-%m-%d') IN ({_list(d.split())})", n) for n, d in MOVING_EVENTS.items()] + [(f"strftime(date, '%m-%d') = '{d}'", n) for n, d in cal.YEARLY_EVENTS.items()])
 _second = _case([(f"date = DATE '{d}'", n) for d, n in cal.SECOND_EVENTS.items()])
 P["bounds"] = "SELECT MIN(CAST(l_shipdate AS DATE)) AS lo, MAX(CAST(l_shipdate AS DATE)) AS hi FROM lineitem"
 P["days"] = "SELECT CAST(unnest(generate_series(lo, hi + INTERVAL 40 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM bounds"
@@ -96,7 +105,7 @@ for k in ("dense", "sparse", "mid"):
     oracle(f"panel_{k}", f"SELECT {_panel} FROM panel_{k}", "sales", "is_holiday days_to_holiday days_since_holiday snap")
 oracle("panel_profile", "SELECT COUNT(DISTINCT id) AS n_series, COUNT(*) AS n_rows, MIN(date) AS first_date, MAX(date) AS last_date, AVG(is_filled::INT::DOUBLE) AS filled_share, COUNT(*) FILTER (closure) AS n_closed, AVG((sales = 0)::INT::DOUBLE) AS zero_share FROM panel_sparse", "filled_share zero_share")
 oracle("grid_gaps", "SELECT id, date, gap FROM (SELECT id, date, date_diff('day', LAG(date) OVER (PARTITION BY id ORDER BY date), date) AS gap FROM raw_sparse) WHERE gap <> 1", "", "gap")
-oracle("unpivot_sales", "SELECT s.id, s.store_id, 'd_' || m.k AS d, SUM(l.quantity) AS sales FROM (SELECT DISTINCT id, store_id FROM lines_dense WHERE year(date) = 1998) s CROSS JOIN range(1, 13) m(k) LEFT JOIN lines_dense l ON l.id = s.id AND year(l.date) = 1998 AND month(l.date) = m.k GROUP BY ALL", "sales")
+oracle("unpivot_sales", "SELECT s.id, s.store_id, s.year, 'd_' || m.k AS d, SUM(l.quantity) AS sales FROM (SELECT DISTINCT id, store_id, year(date) AS year FROM lines_dense) s CROSS JOIN range(1, 13) m(k) LEFT JOIN lines_dense l ON l.id = s.id AND year(l.date) = s.year AND month(l.date) = m.k GROUP BY ALL", "sales")
 oracle("calendar_features", "SELECT id, date, isodow(date) - 1 AS dow, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend, day(date) AS day_of_month, month(date) AS month, dayofyear(date) AS day_of_year, CASE WHEN event_name_1 IS NULL THEN 0 ELSE 1 END AS is_event, snap FROM panel_dense", "", "dow is_weekend day_of_month month day_of_year is_event snap")
 oracle("holiday_proximity", "SELECT date, event_name_1, event_name_2, is_holiday, days_to_holiday, days_since_holiday, closure FROM cal", "", "is_holiday days_to_holiday days_since_holiday")
 oracle("holiday_window", "SELECT DISTINCT d.date FROM days d JOIN majors m ON d.date BETWEEN m.date - 2 AND m.date + 1")
@@ -218,19 +227,60 @@ oracle("matrix", "SELECT * FROM versus WHERE other IN ('seasonal_naive', 'moving
 oracle("scores_by_class", "SELECT c.demand_class, s.method, AVG(s.rmsse) AS rmsse, COUNT(s.rmsse) AS n_valid FROM score_mid_weekly s JOIN stats_mid c ON c.id = s.id GROUP BY ALL", "rmsse")
 oracle("forecast_diff", "SELECT COUNT(*) AS n_rows, AVG((abs(a.forecast - b.forecast) <= 1e-9)::INT::DOUBLE) AS identical_share, MAX(abs(a.forecast - b.forecast)) AS max_abs_diff, MIN(a.target_date) FILTER (abs(a.forecast - b.forecast) > 1e-9) AS first_diff, MAX(a.target_date) FILTER (abs(a.forecast - b.forecast) > 1e-9) AS last_diff FROM pred_dense_weekly a JOIN pred_dense_weekly b ON b.id = a.id AND b.fold = a.fold AND b.horizon = a.horizon WHERE a.method = 'seasonal_naive' AND b.method = 'naive'", "identical_share max_abs_diff")
 oracle("identity_gate", "SELECT COUNT(*) FILTER (fold >= 50) AS only_a, 0::BIGINT AS only_b, 0.0::DOUBLE AS max_abs_diff, CASE WHEN COUNT(*) FILTER (fold >= 50) > 0 THEN 'ROW MISMATCH' ELSE 'IDENTICAL' END AS verdict FROM pred_dense_weekly")
-P["rec"] = """SELECT * REPLACE (CASE WHEN code = 'c2' AND fold % 2 = 0 THEN rmsse * 0.9 ELSE rmsse END AS rmsse, CASE WHEN code = 'c2' AND fold % 2 = 0 THEN rmse * 0.9 ELSE rmse END AS rmse), substr(sha1(suite || '|' || method || '|' || code), 1, 12) AS run_id FROM (
-  SELECT s.*, 'weekly' AS suite, 'c1' AS code, DATE '2024-01-01' AS recorded_at FROM score_dense_weekly s UNION ALL
-  SELECT s.*, 'weekly', 'c2', DATE '2024-01-02' FROM score_dense_weekly s UNION ALL SELECT s.*, 'dev', 'c1', DATE '2024-01-03' FROM score_dense_dev s)"""
-P["recduel"] = "SELECT a.run_id, a.method, b.method AS other, a.rmsse AS m, b.rmsse AS b, CASE WHEN b.rmsse > 0 THEN (b.rmsse - a.rmsse) / b.rmsse * 100 END AS gain FROM rec a JOIN rec b ON b.suite = a.suite AND b.code = a.code AND b.id = a.id AND b.fold = a.fold AND b.method <> a.method WHERE b.method IN ('seasonal_naive', 'moving_average_28') AND a.rmsse IS NOT NULL AND b.rmsse IS NOT NULL"
-P["runs"] = "SELECT suite, method, code, recorded_at, kind, COUNT(DISTINCT id) AS n_series, COUNT(*) AS n_scored, COUNT(rmsse) AS n_valid, AVG(rmsse) AS rmsse_mean, quantile_cont(rmsse, 0.5) AS rmsse_median, AVG(bias) AS bias_mean, run_id FROM rec GROUP BY ALL"
-oracle("run_rows", "SELECT r.*, " + ", ".join(f"(SELECT AVG((m < b)::INT::DOUBLE) FROM recduel d WHERE d.run_id = r.run_id AND d.other = '{o}') AS {o}_win, (SELECT quantile_cont(gain, 0.5) FROM recduel d WHERE d.run_id = r.run_id AND d.other = '{o}') AS {o}_gain" for o in ("seasonal_naive", "moving_average_28")) + " FROM runs r", "rmsse_mean rmsse_median bias_mean seasonal_naive_win seasonal_naive_gain moving_average_28_win moving_average_28_gain")
-oracle("fold_score_rows", "SELECT run_id, id, store_id, fold, origin, week_kind, rmse, mae, bias, rmsse, unscored FROM rec", "rmse mae bias rmsse")
-P["before"] = "SELECT run_id, suite, method, recorded_at, (SELECT arg_max(p.run_id, p.recorded_at) FROM runs p WHERE p.suite = r.suite AND p.method = r.method AND p.recorded_at < r.recorded_at) AS predecessor FROM runs r"
-oracle("predecessor", "SELECT * FROM before")
+def _text(s: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def _run(scores: str, cfg: Config, code: str, day: int, factor: str) -> str:
+    """The fold scores of one recorded run: what describes it, written out from its config."""
+    fields = json.dumps(cfg.fields(), sort_keys=True)
+    alone = json.dumps(cfg.fields() | {"pool_by": "None"}, sort_keys=True)
+    return f"""SELECT s.* REPLACE (rmsse * {factor} AS rmsse, rmse * {factor} AS rmse), {_text(suite_of(cfg))} AS suite, '' AS item_ids, '' AS store_ids, {_text(cfg.pool_by)} AS pool_by, {cfg.fold_step} AS fold_step,
+  {cfg.n_folds} AS n_folds, 7 AS horizon, 0 AS seed, {_text(fields)} AS config_json, {_text(alone)} AS layout_json, '{code}' AS code_digest, DATE '2024-01-0{day}' AS recorded_at FROM {scores} s"""
+
+
+_weekly, _dev = suite_config("weekly"), Config(n_folds=8)
+_even, _some = "CASE WHEN fold % 2 = 0 THEN 0.9 ELSE 1.0 END", "CASE WHEN fold % 5 < 2 THEN 1.4 ELSE 1.0 END"
+P["rec"] = "SELECT *, method || '-' || substr(sha1(method || '|' || config_json || '|' || code_digest), 1, 12) AS run_id FROM (" + " UNION ALL ".join((
+    _run("score_dense_weekly", _weekly, "c1", 1, "1.0"), _run("score_dense_weekly", _weekly, "c2", 2, _even), _run("score_dense_dev", _dev, "c1", 3, "1.0"),
+    _run("score_dense_weekly", replace(_weekly, pool_by="item_id"), "c2", 4, "0.95"), _run("score_dense_weekly", _weekly, "c3", 5, _even), _run("score_dense_weekly", _weekly, "c4", 6, _some),
+)) + ")"
+P["recbench"] = "SELECT DISTINCT ON (layout_json, id, fold, method) layout_json, id, fold, method AS other, rmsse AS b FROM rec WHERE code_digest = 'c1' AND method IN ('seasonal_naive', 'moving_average_28') AND rmsse IS NOT NULL"
+P["recduel"] = "SELECT a.run_id, d.other, a.rmsse AS m, d.b, CASE WHEN d.b > 0 THEN (d.b - a.rmsse) / d.b * 100 END AS gain FROM rec a JOIN recbench d USING (layout_json, id, fold) WHERE a.method <> d.other AND a.rmsse IS NOT NULL"
+P["recgain"] = "SELECT run_id, other, AVG((m < b)::INT::DOUBLE) AS win, AVG(gain) AS gmean, quantile_cont(gain, 0.25) AS q1, quantile_cont(gain, 0.5) AS q2, quantile_cont(gain, 0.75) AS q3 FROM recduel GROUP BY ALL"
+P["rechead"] = """SELECT run_id, method, kind, suite, item_ids, store_ids, pool_by, fold_step, n_folds, horizon, seed, config_json, code_digest, recorded_at, COUNT(*) AS n_scored, COUNT(rmsse) AS n_valid,
+  COUNT(*) FILTER (unscored) AS n_unscored, COUNT(*) FILTER (fallback) AS n_fallback, AVG(rmsse) AS rmsse_mean, quantile_cont(rmsse, 0.5) AS rmsse_median, AVG(rmsse) FILTER (week_kind = 'normal') AS rmsse_normal,
+  AVG(rmsse) FILTER (week_kind = 'holiday') AS rmsse_holiday, AVG(bias) AS bias_mean FROM rec GROUP BY ALL"""
+P["runs"] = """SELECT h.*, r.win AS win_vs_ref, r.gmean AS impr_mean, r.q1 AS impr_q1, r.q2 AS impr_median, r.q3 AS impr_q3, s.win AS win_vs_stress, s.q2 AS impr_median_stress, length(method) * 10.0 AS run_seconds,
+  CASE WHEN code_digest <> 'c1' THEN 'refit ' || code_digest END AS note
+  FROM rechead h LEFT JOIN recgain r ON r.run_id = h.run_id AND r.other = 'seasonal_naive' LEFT JOIN recgain s ON s.run_id = h.run_id AND s.other = 'moving_average_28'"""
+oracle("run_rows", "SELECT * EXCLUDE (config_json, run_seconds, note) FROM runs", "rmsse_mean rmsse_median rmsse_normal rmsse_holiday bias_mean win_vs_ref impr_mean impr_q1 impr_median impr_q3 win_vs_stress impr_median_stress", "fold_step n_folds horizon seed")
+oracle("fold_score_rows", "SELECT run_id, id, item_id, store_id, fold, origin, week_kind, rmsse, bias, mae, rmse, mean_actual, n_days, unscored, fallback FROM rec", "rmse mae bias rmsse mean_actual")
+P["before"] = "SELECT run_id, method, config_json, recorded_at, (SELECT arg_max(p.run_id, p.recorded_at) FROM rechead p WHERE p.config_json = r.config_json AND p.method = r.method AND p.recorded_at < r.recorded_at) AS predecessor FROM rechead r"
+oracle("predecessor", "SELECT * EXCLUDE (config_json) FROM before")
 P["cmp"] = "SELECT p.predecessor AS run_a, p.run_id AS run_b, a.rmsse AS b, b.rmsse AS m, a.bias AS ba, b.bias AS bb, CASE WHEN a.rmsse > 0 THEN (a.rmsse - b.rmsse) / a.rmsse * 100 END AS gain FROM before p JOIN rec a ON a.run_id = p.predecessor JOIN rec b ON b.run_id = p.run_id AND b.id = a.id AND b.origin = a.origin WHERE a.rmsse IS NOT NULL AND b.rmsse IS NOT NULL"
-oracle("compare_runs", "SELECT *, CASE WHEN gain_median = 0 AND win_rate_b = 0 THEN 'IDENTICAL' WHEN abs(gain_median) < 2 AND win_rate_b BETWEEN 0.35 AND 0.65 THEN 'ok' ELSE 'CHECK' END AS verdict FROM (SELECT run_a, run_b, COUNT(*) AS n_paired, COUNT(*) FILTER (b <= 0) AS n_undefined, AVG((m < b)::INT::DOUBLE) AS win_rate_b, AVG(b) AS rmsse_a, AVG(m) AS rmsse_b, AVG(ba) AS bias_a, AVG(bb) AS bias_b, AVG(gain) AS gain_mean, quantile_cont(gain, 0.25) AS gain_q1, quantile_cont(gain, 0.5) AS gain_median, quantile_cont(gain, 0.75) AS gain_q3 FROM cmp GROUP BY ALL)", "win_rate_b rmsse_a rmsse_b bias_a bias_b gain_mean gain_q1 gain_median gain_q3")
-oracle("registry_top3", "SELECT suite, method, rmsse_mean, place FROM (SELECT suite, method, rmsse_mean, ROW_NUMBER() OVER (PARTITION BY suite ORDER BY rmsse_mean, method) AS place FROM runs WHERE code = 'c1') WHERE place <= 3", "rmsse_mean", "place")
-oracle("registry_by_store", "SELECT suite, method, store_id, AVG(rmsse) AS rmsse, COUNT(*) AS n FROM rec WHERE code = 'c1' GROUP BY ALL", "rmsse")
-oracle("registry_holiday_split", "SELECT suite, method, AVG(rmsse) FILTER (week_kind = 'holiday') AS holiday, AVG(rmsse) FILTER (week_kind = 'normal') AS normal FROM rec WHERE code = 'c1' GROUP BY ALL", "holiday normal")
-oracle("registry_latest", "SELECT suite, method, code, run_id, recorded_at, rmsse_mean FROM runs r WHERE recorded_at = (SELECT MAX(x.recorded_at) FROM runs x WHERE x.suite = r.suite AND x.method = r.method)", "rmsse_mean")
+oracle("compare_runs", """SELECT *, CASE WHEN gain_q1 = 0 AND gain_q3 = 0 AND abs(rmsse_a - rmsse_b) < 1e-12 THEN 'IDENTICAL' WHEN abs(gain_median) < 2 AND win_rate_b >= 0.35 AND win_rate_b <= 0.65 THEN 'ok' ELSE 'CHECK' END AS verdict FROM (
+  SELECT run_a, run_b, COUNT(*) AS n_paired, COUNT(*) FILTER (b <= 0) AS n_undefined, AVG((m < b)::INT::DOUBLE) AS win_rate_b, AVG(b) AS rmsse_a, AVG(m) AS rmsse_b, AVG(ba) AS bias_a, AVG(bb) AS bias_b, AVG(gain) AS gain_mean,
+  quantile_cont(gain, 0.25) AS gain_q1, quantile_cont(gain, 0.5) AS gain_median, quantile_cont(gain, 0.75) AS gain_q3 FROM cmp GROUP BY ALL)""", "win_rate_b rmsse_a rmsse_b bias_a bias_b gain_mean gain_q1 gain_median gain_q3")
+oracle("match_runs", "SELECT n.run_id, arg_max(o.run_id, o.recorded_at) AS before FROM rechead n LEFT JOIN rechead o ON o.method = n.method AND o.n_folds = n.n_folds AND o.pool_by IS NOT DISTINCT FROM n.pool_by AND o.run_id <> n.run_id WHERE n.code_digest = 'c3' GROUP BY n.run_id")
+oracle("record", """SELECT run_id, method, suite, code_digest, CASE WHEN code_digest IN ('c1', 'c2') THEN recorded_at ELSE CAST(recorded_at + INTERVAL 30 DAY AS DATE) END AS recorded_at,
+  CASE code_digest WHEN 'c1' THEN 'again' WHEN 'c2' THEN 'refit c2 | again' ELSE 'again' END AS note FROM rechead""")
+oracle("backfill", "SELECT run_id, method, code_digest AS code, pool_by FROM rechead WHERE code_digest <> 'c2' OR pool_by IS NOT NULL")
+oracle("refresh", "SELECT run_id, method, code_digest, ((method = 'naive' AND code_digest = 'c2') OR (method = 'mean' AND code_digest = 'c1'))::BIGINT AS code_current FROM rechead")
+oracle("same_config", "SELECT a.run_id AS run_a, b.run_id AS run_b FROM rechead a JOIN rechead b ON b.method = a.method AND a.run_id < b.run_id AND a.n_folds = b.n_folds")
+_short = _case([(f"method = '{m}'", t) for m, t in (("mean", "MEAN"), ("naive", "NAIVE"), ("drift", "DRIFT"), ("seasonal_naive", "SN7"), ("seasonal_naive_364", "SN364"), ("moving_average_28", "MA28"))])
+P["current"] = "SELECT * FROM rechead r WHERE recorded_at = (SELECT MAX(x.recorded_at) FROM rechead x WHERE x.suite IS NOT DISTINCT FROM r.suite AND x.method = r.method AND x.pool_by IS NOT DISTINCT FROM r.pool_by)"
+oracle("run_labels", f"SELECT c.run_id, {_short} || CASE WHEN c.pool_by IS NULL THEN '' ELSE '·P' END AS label, c.suite, n_scored AS n, rmsse_mean AS rmsse FROM current c", "rmsse")
+oracle("stage_progression", "SELECT suite, item_ids, place, stage, rmsse_mean AS value FROM current JOIN (VALUES (0::BIGINT, 'yearly', 'seasonal_naive_364', NULL), (1, 'level', 'moving_average_28', NULL), (2, 'pooled level', 'moving_average_28', 'item_id')) v(place, stage, method, pool) USING (method) WHERE pool IS NOT DISTINCT FROM pool_by", "value")
+oracle("run_minutes", "SELECT suite, item_ids, pool_by, SUM(length(method) * 10.0) / 60 AS minutes FROM rechead GROUP BY ALL", "minutes")
+oracle("scale_change", "SELECT a.id, a.scale AS scale_a, b.scale AS scale_b, (b.scale / a.scale - 1) * 100 AS change_pct FROM scale_dense_weekly a JOIN scale_dense_dev b USING (id)", "scale_a scale_b change_pct")
+oracle("registry_top3", "SELECT suite, method, rmsse_mean, place FROM (SELECT suite, method, rmsse_mean, ROW_NUMBER() OVER (PARTITION BY suite ORDER BY rmsse_mean, method) AS place FROM rechead WHERE code_digest = 'c1') WHERE place <= 3", "rmsse_mean", "place")
+oracle("registry_by_store", "SELECT suite, method, store_id, AVG(rmsse) AS rmsse, COUNT(*) AS n FROM rec WHERE code_digest = 'c1' GROUP BY ALL", "rmsse")
+oracle("registry_holiday_split", "SELECT suite, method, AVG(rmsse) FILTER (week_kind = 'holiday') AS holiday, AVG(rmsse) FILTER (week_kind = 'normal') AS normal FROM rec WHERE code_digest = 'c1' GROUP BY ALL", "holiday normal")
+oracle("registry_latest", "SELECT suite, method, pool_by, code_digest, run_id, recorded_at, rmsse_mean FROM current", "rmsse_mean")
+oracle("stats_summary", """SELECT item_id, COUNT(*) AS n_series, MIN(mean_sales) AS least_mean, MAX(mean_sales) AS most_mean, MIN(zero_rate) AS least_zero, MAX(zero_rate) AS most_zero, COUNT(DISTINCT demand_class) AS n_classes,
+  string_agg(DISTINCT demand_class, ', ' ORDER BY demand_class) AS classes FROM stats_mid GROUP BY item_id""", "least_mean most_mean least_zero most_zero")
+oracle("zero_rates", "SELECT store_id, item_id, zero_rate, mean_sales, ROW_NUMBER() OVER (ORDER BY mean_sales DESC, id) AS place FROM stats_mid WHERE isfinite(adi) AND isfinite(cv2)", "zero_rate mean_sales", "place")
+oracle("worst_zero_runs", "SELECT p.id, COALESCE(MAX(z.n), 0) AS max_zero_run FROM (SELECT DISTINCT id FROM panel_sparse) p LEFT JOIN zeros_panel_sparse z ON z.id = p.id GROUP BY p.id ORDER BY 2 DESC, 1 LIMIT 5", "", "max_zero_run")
+oracle("tau_lines", "SELECT tau, AVG(pinball_rel) AS pinball_rel, AVG(covered::INT::DOUBLE) AS coverage FROM scored WHERE method = 'seasonal_naive' GROUP BY tau", "pinball_rel coverage")
 oracle("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY ALL", "total")

@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
-from ..operators import calendar, panel
+from ..operators import calendar, features, panel, registry
 
 #: Columns of the inputs.
 SALES_IDS = ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
 CALENDAR = "d string, date date, wm_yr_wk int, wday int, month int, year int, event_name_1 string, event_type_1 string, event_name_2 string, event_type_2 string, snap_CA int, snap_TX int, snap_WI int"
 PRICES = "store_id string, item_id string, wm_yr_wk int, sell_price double"
-RUN_TYPES = "run_id string, suite string, method string, code string, kind string, recorded_at timestamp, note string, rmsse_mean double"
-SCORE_TYPES = "run_id string, id string, fold int, origin date, week_kind string, rmse double, mae double, bias double, rmsse double, unscored boolean"
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -89,7 +87,8 @@ def code_digest(*parts: object) -> str:
 
 
 def cache_name(cfg: Config, method: str, code: str) -> str:
-    text = json.dumps({**cfg.fields(), "method": method, "code": code}, sort_keys=True)
+    """The run's id, by the rule of registry.run_id."""
+    text = "|".join((method, registry.config_json(cfg), code))
     return f"{method}-{hashlib.sha1(text.encode()).hexdigest()[:12]}"
 
 
@@ -108,9 +107,10 @@ def read_predictions(spark: SparkSession, root: str, cfg: Config, method: str, c
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """(path, method, code, config) of all sidecars below root; config maps field to the text of its value."""
-    rows = spark.read.option("wholetext", True).text(f"{root}/*/meta").select(F.input_file_name().alias("path"), F.from_json("value", "method string, code string, config map<string,string>").alias("m"))
-    return rows.select("path", "m.*")
+    """(run_id, written_at, method, code, config) of all sidecars below root; config maps field to the text of its value."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{root}/*/meta")
+    told = F.from_json(F.decode("content", F.lit("UTF-8")), "method string, code string, config map<string,string>")
+    return found.select(F.element_at(F.split("path", "/"), -3).alias("run_id"), F.col("modificationTime").alias("written_at"), told.alias("m")).select("run_id", "written_at", "m.*")
 
 
 def config_of(recorded: dict[str, str]) -> Config:
@@ -119,9 +119,9 @@ def config_of(recorded: dict[str, str]) -> Config:
     return Config(**{k: ast.literal_eval(v) for k, v in recorded.items() if k in known})
 
 
-def not_recorded(found: DataFrame, registry: DataFrame) -> DataFrame:
-    """Sidecars whose (method, code) has no run on record."""
-    return found.join(registry.select("method", "code").distinct(), ["method", "code"], "left_anti")
+def not_recorded(found: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Sidecars whose run, named by their folder, is not on record."""
+    return found.join(recorded.select("run_id"), "run_id", "left_anti")
 
 
 def check_actuals(predictions: DataFrame, df: DataFrame) -> DataFrame:
@@ -138,6 +138,21 @@ def typed(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(schema)))
 
 
+def supervised_cached(spark: SparkSession, root: str, df: DataFrame, cfg: Config, code: str) -> DataFrame:
+    """The supervised matrix of a panel, by series, built once per code, horizon, price use, series filter and extent of the panel."""
+    extent = df.agg(F.min("date"), F.max("date"), F.count("*"), F.countDistinct("id")).first()
+    name = hashlib.sha1(json.dumps([code, cfg.horizon, cfg.use_price, cfg.subset(), *map(str, extent)], default=list, sort_keys=True).encode()).hexdigest()[:12]
+    path = f"{root}/supervised-{name}"
+    if not exists(spark, path):
+        features.supervised(df, cfg.horizon, cfg.use_price).repartition("id").write.mode("overwrite").partitionBy("id").parquet(path)
+    return spark.read.parquet(path)
+
+
+def export_by(df: DataFrame, keys: tuple[str, ...], root: str) -> None:
+    """One CSV folder per combination of keys, such as the runs of a suite and item."""
+    df.write.mode("overwrite").option("header", True).partitionBy(*keys).csv(root)
+
+
 def write_table(df: DataFrame, url: str, table: str, schema: str, properties: dict[str, str] | None = None) -> None:
     """Replaces a table of a relational database; rows go in batches of 500. Load parents before children."""
     typed(df, schema).write.format("jdbc").options(url=url, dbtable=table, batchsize="500", **(properties or {})).mode("overwrite").save()
@@ -154,13 +169,20 @@ def markdown(df: DataFrame, rows: int = 200) -> str:
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
 
 
-def provenance(cfg: Config, methods: tuple[str, ...]) -> str:
-    """Branch, commit, config and methods as text; without a repository the first two are unknown."""
+def _git(*args: str) -> str | None:
+    try:
+        return subprocess.run(["git", *args], capture_output=True, text=True, check=True).stdout.strip()
+    except (OSError, subprocess.CalledProcessError):
+        return None
+
 
-    def git(*args: str) -> str:
-        try:
-            return subprocess.run(["git", *args], capture_output=True, text=True, check=True).stdout.strip()
-        except (OSError, subprocess.CalledProcessError):
-            return "unknown"
+def git_state() -> tuple[str | None, str | None, int | None]:
+    """(branch, commit, whether there are changes) of the working folder, or nothing without a repository."""
+    changes = _git("status", "--porcelain")
+    return _git("rev-parse", "--abbrev-ref", "HEAD"), _git("rev-parse", "--short", "HEAD"), None if changes is None else int(bool(changes))
 
-    return f"{git('rev-parse', '--abbrev-ref', 'HEAD')}@{git('rev-parse', '--short', 'HEAD')}: {cfg.describe()}; methods {', '.join(methods)}"
+
+def provenance(cfg: Config, methods: tuple[str, ...]) -> str:
+    """Branch, commit, config and methods as text; without a repository the first two are unknown."""
+    branch, commit, _ = git_state()
+    return f"{branch or 'unknown'}@{commit or 'unknown'}: {cfg.describe()}; methods {', '.join(methods)}"

@@ -21,8 +21,13 @@ def day(column: str) -> Column:
     return F.col(column).cast("date")
 
 
+def date_span(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """The first and the last day with a sale, in one scan of one column."""
+    return tuple(table(spark, sf_dir, "lineitem").agg(F.min(day("l_shipdate")), F.max(day("l_shipdate"))).first())
+
+
 def last_date(spark: SparkSession, sf_dir: str) -> date:
-    return table(spark, sf_dir, "lineitem").agg(F.max(day("l_shipdate"))).first()[0]
+    return date_span(spark, sf_dir)[1]
 
 
 def _state(key: Column) -> Column:

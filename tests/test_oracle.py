@@ -1,4 +1,4 @@
-"""Every catalogue query with SQL against DuckDB at the smallest scale (a sample of them; all with ALL_QUERIES=1)."""
+"""Every catalogue query with SQL against DuckDB at the smallest scale."""
 
 import datetime
 import glob
@@ -11,8 +11,7 @@ import pytest
 from stockcast.plans.catalog import QUERIES
 from stockcast.plans.oracle import ORACLES
 
-QUICK = ("panel_dense", "panel_profile", "holiday_proximity", "closure_impute", "price_join", "supervised_matrix", "walk_forward", "score_folds", "summarise", "win_rates", "series_stats", "event_effects", "outliers", "acf", "calibrate_expanding", "ranking_by_tau", "compare_runs", "registry_top3")
-NAMES = list(ORACLES) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = list(ORACLES)
 
 
 @pytest.fixture(scope="module")
