@@ -27,7 +27,7 @@ from .components import map_arrow, quoted
 #: Bounds of the fit: documents sampled per language; bytes of whole documents after which a dictionary takes no more of them.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 112_640
 #: Parts in which a language's candidates are ranked first.
-_PARTS = 64
+_PARTS = 16
 #: Characters of a segment: each is compressed on its own, so a dictionary counts along the whole of a long text.
 SEGMENT = 4096
 #: How hard the compressor searches: matches of three bytes and more, as words are short.
