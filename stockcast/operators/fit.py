@@ -146,6 +146,7 @@ def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, setti
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _one_thread()
+        pdf = pdf.sort_values(["id", "origin_date", "horizon"])  # rows are sampled by position
         target_day, origin_day = (pdf[c].to_numpy().astype("datetime64[D]") for c in ("target_date", "origin_date"))
         x = pdf[names].to_numpy(float)
         if cfg.pool_by:  # who a row belongs to, as dense codes of the sorted names

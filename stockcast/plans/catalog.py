@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, suite_config
-from ..models import gbt
 from ..operators import calendar, explore, features, fit, folds, order, panel, registry, scoring
 from ..sources import files, retail
 from ..streaming import hourly
@@ -678,19 +677,17 @@ def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.latest(_runs(spark, sf_dir)).select("suite", "method", "pool_by", "code_digest", "run_id", "recorded_at", "rmsse_mean")
 
 
-#: Fitted methods run over few folds here and boost few rounds: a query shows the method, a study sets its own layout.
-FEW, QUICK = Config(n_folds=2), gbt.Settings(rounds=40, eta=0.15, depth=5, bins=64)
-
-
 def _fitted(name: str, method: str, pool: str | None = None) -> None:
+    """Series methods run over the weekly layout, boosted ones over that of development with all their rounds."""
+
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cfg = replace(FEW, pool_by=pool)
+        cfg = replace(WEEKLY if method in fit.SERIES_METHODS else DEV, pool_by=pool)
         d = Data(spark, sf_dir, cfg=cfg)
         rows = d.panel()
         if method in fit.SERIES_METHODS:
-            made = fit.series_forecasts(rows, cfg, d.last, method)
+            made = fit.series_forecasts(rows, cfg, d.last, method, n_series=4)
         else:
-            made = fit.tree_forecasts(rows, cfg, d.last, method, QUICK)
+            made = fit.tree_forecasts(rows, cfg, d.last, method, n_groups=4)
         return fit.predictions(rows, cfg, d.last, made)
 
     f.__name__ = name

@@ -109,7 +109,7 @@ def read_predictions(spark: SparkSession, root: str, cfg: Config, method: str, c
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
     """(run_id, written_at, method, code, config) of all sidecars below root; config maps field to the text of its value."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{root}/*/meta")
-    told = F.from_json(F.decode("content", F.lit("UTF-8")), "method string, code string, config map<string,string>")
+    told = F.from_json(F.decode("content", "UTF-8"), "method string, code string, config map<string,string>")
     return found.select(F.element_at(F.split("path", "/"), -3).alias("run_id"), F.col("modificationTime").alias("written_at"), told.alias("m")).select("run_id", "written_at", "m.*")
 
 
@@ -143,9 +143,10 @@ def supervised_cached(spark: SparkSession, root: str, df: DataFrame, cfg: Config
     extent = df.agg(F.min("date"), F.max("date"), F.count("*"), F.countDistinct("id")).first()
     name = hashlib.sha1(json.dumps([code, cfg.horizon, cfg.use_price, cfg.subset(), *map(str, extent)], default=list, sort_keys=True).encode()).hexdigest()[:12]
     path = f"{root}/supervised-{name}"
+    made = features.supervised(df, cfg.horizon, cfg.use_price)
     if not exists(spark, path):
-        features.supervised(df, cfg.horizon, cfg.use_price).repartition("id").write.mode("overwrite").partitionBy("id").parquet(path)
-    return spark.read.parquet(path)
+        made.repartition("id").write.mode("overwrite").partitionBy("id").parquet(path)
+    return spark.read.schema(made.schema).parquet(path).select(*made.columns)  # a stated schema: ids stay texts, and no rows are no error
 
 
 def export_by(df: DataFrame, keys: tuple[str, ...], root: str) -> None:

@@ -70,7 +70,7 @@ def test_week_kind_is_checked(spark):
     with pytest.raises(ValueError):
         scoring.weeks(None, "rainy")
     with pytest.raises(ValueError):
-        scoring.improvement_over(None, "other")
+        scoring.improvement_over(spark.createDataFrame([("naive",)], "method string"), "other")
 
 
 def test_pinball(spark):
@@ -156,7 +156,7 @@ def test_registry_keeps_the_first_row(spark):
     old = spark.createDataFrame([("a", 1, "n1")], "run_id string, recorded_at int, note string")
     new = spark.createDataFrame([("a", 2, "n2"), ("b", 3, ""), ("b", 4, "")], "run_id string, recorded_at int, note string")
     assert [(r["run_id"], r["recorded_at"]) for r in registry.new_runs(old, new).collect()] == [("b", 3)]
-    assert registry.add_notes(old, new).first()["note"] == "n1; n2"
+    assert registry.add_notes(old, new).first()["note"] == "n1 | n2"
     assert registry.runs(old, "recorded_at >= :t", {"t": 1}).count() == 1
 
 

@@ -2,9 +2,12 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from conftest import panel_of
 
 from stockcast.config import Config
-from stockcast.operators import folds, panel
+from stockcast.operators import folds, panel, registry
 from stockcast.sources import files
 from stockcast.streaming import hourly
 
@@ -47,8 +50,15 @@ def test_cache_and_sidecars(spark, inputs, tmp_path):
     assert back.count() == made.count() == 14
     with pytest.raises(ValueError):
         files.check_actuals(back, df.withColumn("sales", F.col("sales") + 1))
-    recorded = spark.createDataFrame([("naive", "other")], "method string, code string")
-    assert files.not_recorded(files.sidecars(spark, root + "/m"), recorded).count() == 1
+    assert found["run_id"] == files.cache_name(cfg, "naive", code) and found["written_at"] is not None
+    for name, missing in ((files.cache_name(Config(n_folds=3), "naive", code), 1), (found["run_id"], 0)):
+        assert files.not_recorded(files.sidecars(spark, root + "/m"), spark.createDataFrame([(name,)], "run_id string")).count() == missing
+    assert files.supervised_cached(spark, root, df.limit(3), cfg, "v1").count() == 0
+    rows = panel_of(spark, range(120), series="7")
+    matrix = files.supervised_cached(spark, root, rows, cfg, "v1")
+    assert matrix.count() == files.supervised_cached(spark, root, rows, cfg, "v1").count() > 0 and matrix.schema["id"].dataType == T.StringType()
+    files.export_by(matrix.select("id", "horizon", "target"), ("id", "horizon"), f"{root}/out")
+    assert spark.read.option("header", True).csv(f"{root}/out").count() == matrix.count()
     assert files.config_of({"n_folds": "3", "gone": "1"}) == Config(n_folds=3)
 
 
@@ -67,7 +77,8 @@ def test_digest_ignores_docstrings():
 
 def test_typed_rows_and_markdown(spark):
     df = spark.createDataFrame([("r", "s", "1", "2000-01-01", "normal", "1.5", None, "0", "2", "false")], "run_id string, id string, fold string, origin string, week_kind string, rmse string, mae string, bias string, rmsse string, unscored string")
-    assert files.typed(df, files.SCORE_TYPES).schema.simpleString().endswith("unscored:boolean>")
+    assert files.typed(df, "run_id string, fold int, rmse double, unscored boolean").schema.simpleString().endswith("unscored:boolean>")
+    assert [len(T._parse_datatype_string(x).fields) for x in (registry.RUN, registry.FOLD_SCORE)] == [37, 15]
     assert "| r | s |" in files.markdown(df.select("run_id", "id"))
 
 
