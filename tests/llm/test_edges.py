@@ -16,7 +16,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
-from stockcast.llm import bpe, hnsw, language_id, metric_join, mixing, secret_scan, simhash, substring_dedup, token_counts, warc
+from stockcast.llm import bpe, hnsw, language_id, metric_join, mixing, resemblance, secret_scan, simhash, substring_dedup, token_counts, warc
 
 from .test_llm import DOCS, PATH, awkward, brute_components, brute_fingerprint, brute_targets, docs
 
@@ -352,11 +352,52 @@ def small_corpus(spark):
     rng = random.Random(6)
     en, de = ["the house of a man", "is where they all went", "and then it was over", "some good day for her"], ["das haus eines mannes", "wo sie alle hingingen", "und dann war es vorbei", "ein guter tag mit ihr"]
     texts = [(" ".join(rng.choice(pool) for _ in range(30)), lang) for pool, lang in ((en, "en"), (de, "de")) for _ in range(14)]
-    texts += [texts[0], texts[20], (f"{texts[1][0]} password = {V}", "en"), (f'{texts[2][0]} token = "{V}9"', "en"), ("12 34 56", "en"), (None, "en"), ("", "de"), (texts[3][0], None)]
+    texts += [texts[0], texts[20], (f"{texts[4][0]} and more was said", "en"), (f"{texts[1][0]} password = {V}", "en"), (f'{texts[2][0]} token = "{V}9"', "en"), ("12 34 56", "en"), (None, "en"), ("", "de"), (texts[3][0], None)]
     rows = [(None if k % 9 == 4 else k // 2 if k > 30 else k, t, lang, "abc"[k % 3] if k % 7 else None, None if t is None else len(t)) for k, (t, lang) in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
+def brute_unlike(rows):
+    """Of each group that Jaccard similarities of 0.8 hold together, the row with the least id, nulls last."""
+    sets = []
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r["text"] or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    member = brute_components(list(range(len(rows))), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0)
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(member[k], []).append(r)
+    return [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+
+
+def test_alike_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = [None, "", " \t", "one two", "One  two"]
+    for group in range(6):
+        base = [rng.choice(words) for _ in range(60 + 40 * group)]
+        texts.append(" ".join(base))
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+            base = copy if rng.random() < 0.2 else base  # so that some are alike by way of others only
+    passage = " ".join(rng.choice(words) for _ in range(300))
+    texts += [f"{passage} {' '.join(rng.choice(words) for _ in range(120))}" for _ in range(40)]  # one passage, similarity under 0.8
+    texts += ["same Words here and there again " * 3000, "Same words here and there again " * 3000]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = odd(docs(spark, [texts[k] for k in order]))
+    kept = resemblance.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in brute_unlike(df.collect())) and 50 < len(got) < 140
+    assert resemblance.keep_one(df.filter("false")).count() == 0
+    unnamed = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert resemblance.keep_one(unnamed).count() == len(got)
+
+
 def test_every_stage_equals_brute_force(spark):
     import corpus_pipeline as p
 
@@ -376,8 +417,10 @@ def test_every_stage_equals_brute_force(spark):
     groups = {}
     for k, r in enumerate(got):
         groups.setdefault(member[k], []).append((r["doc_id"] is None, r["doc_id"] or 0))
+    kept = simhash.keep_one(docs_).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(min(g) for g in groups.values()) and len(kept) < len(prints)
     got = stages[1](spark, docs_, "").collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(min(g) for g in groups.values()) and len(got) < len(prints)
+    assert sorted(map(key, got)) == sorted(map(key, brute_unlike(kept))) and len(got) < len(kept)
 
     docs_ = spark.createDataFrame(got, DOCS)
     want = [(r["doc_id"], secret_scan.redact(r["text"], secret_scan.scan(r["text"], 0.5)[1])) for r in got]
