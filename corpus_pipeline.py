@@ -2,7 +2,8 @@
 
 1. Language ID by compression: documents without a letter, or whose two best languages compress the text
    to nearly the same size, go.
-2. SimHash near-dedup: one document of each group stays.
+2. SimHash near-dedup: one document of each group stays; among those, edited copies that its radius does not reach
+   (five-word shingles, Jaccard similarity of 0.8 or more) go too.
 3. Secret scan: every secret found is replaced in its text.
 4. Mixing: documents, whole or cut at block ends, are taken up to three times so that sources meet their targets.
 5. Byte-level BPE: token ids of every text, checked by decoding.
@@ -15,7 +16,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockcast.llm import bpe, language_id, mixing, secret_scan, simhash
+from stockcast.llm import bpe, language_id, mixing, resemblance, secret_scan, simhash
 from stockcast.llm.components import delete, ensure_checkpoint_dir
 
 #: The least margin between the two best languages: below it they are as good as tied.
@@ -28,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return resemblance.keep_one(simhash.keep_one(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
