@@ -8,7 +8,7 @@ A text's shingles are hashed to a set. BANDS keys, each of ROWS minima of the se
 of similarity s together with odds 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8. Whatever meets is compared exactly, by
 the sets themselves. Rows under a key are not paired with each other: every row is compared with one row of its keys
 first, what is alike becomes one component, and keys whose rows are all of one component are settled. In the
-others, some rows - twice as many in each round - are compared with the key's rows of other components, until every
+others, some rows - STEP times as many in each round - are compared with the key's rows of other components, until every
 pair of different components under a key has been compared; so no link between different components is lost.
 
 Edge cases: texts without words (null, empty, white space) are alike to none here; fewer words than a shingle make one
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, cut
 
-#: Keys of a text, and minima in a key.
-BANDS, ROWS = 24, 6
+#: Keys of a text, minima in a key, and growth of the rows of a key that are compared with its others in a round.
+BANDS, ROWS, STEP = 24, 6, 16
 _PIECES, _BLOCK, _AT_ONCE = 65_536, 2048, 256
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(k), 42) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
@@ -90,7 +90,7 @@ def alike_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8
     live = cut(keys.withColumn("_n", F.count("*").over(key)).filter("_n > 1").select("key", "row"))
     sets = cut(_longs_of(texts.join(live.select("row").distinct(), "row", "left_semi").select("row", "text"), lambda text: shingle_set(text, shingle), "hashes"))
     first = live.withColumn("v", F.min("row").over(key)).filter("row > v").groupBy(F.col("row").alias("u")).agg(F.min("v").alias("v"))
-    links, centres = cut(_alike(first, sets, similarity)), 1
+    links, centres = cut(_alike(first, sets, similarity)), STEP
     while True:
         member = connected_components(links, "u", "v")
         named = live.join(member, live["row"] == member["node"], "left").select("key", "row", F.coalesce("component", "row").alias("part"))
@@ -104,7 +104,7 @@ def alike_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8
         pairs = pairs.select(F.greatest("row", "_row").alias("u"), F.least("row", "_row").alias("v")).distinct()
         links = cut(links.union(_alike(pairs, sets, similarity)))
         live = live.filter(F.col("place") > centres).select("key", "row")
-        centres *= 2
+        centres *= STEP
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
