@@ -11,6 +11,10 @@ first, what is alike becomes one component, and keys whose rows are all of one c
 others, some rows - STEP times as many in each round - are compared with the key's rows of other components, until every
 pair of different components under a key has been compared; so no link between different components is lost.
 
+Keys of many texts that are not alike list no pairs: a pair is taken at its least common key only, and only if the parities of
+its sets allow the similarity. A set's parities are PARITIES bits, each 1 if an odd number of its hashes fall there.
+Two sets differ in at least as many hashes as their parities differ in bits, so what this test turns away cannot be alike.
+
 Edge cases: texts without words (null, empty, white space) are alike to none here; fewer words than a shingle make one
 shingle; null and repeated ids are rows of their own; an empty table gives an empty result; texts of any length are
 read whole; other columns may have any name.
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from .components import connected_components, cut
 
 #: Keys of a text, minima in a key, and growth of the rows of a key that are compared with its others in a round.
-BANDS, ROWS, STEP = 24, 6, 16
+BANDS, ROWS, STEP = 24, 6, 64
+PARITIES = 1024
 _PIECES, _BLOCK, _AT_ONCE = 65_536, 2048, 256
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(k), 42) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
@@ -60,6 +65,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array(keys, np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits in signed longs: bit b is 1 if an odd number of the hashes are b modulo PARITIES."""
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _longs_of(texts: DataFrame, make: Callable[[str], np.ndarray], name: str) -> DataFrame:
     """(row, name): what make gives for each text."""
 
@@ -83,14 +94,41 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.filter(both / (F.size("_a") + F.size("_b") - both) >= similarity).select("u", "v")
 
 
+def _marks(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row, keys, size, parities) of the rows in sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parities(hashes.values.to_numpy().view(np.uint64)) for hashes in batch.column(1)]
+            sizes = pa.array([len(hashes) for hashes in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(bits, pa.list_(pa.int64()))], names=["row", "size", "parities"])
+
+    return keyed.join(sets.select("row", "hashes").mapInArrow(run, "row long, size long, parities array<long>"), "row")
+
+
+def _candidates(live: DataFrame, centre: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of a key's rows and its centres of other components that may reach the similarity, each pair once."""
+    words = range(PARITIES // 64)
+    mark = marks.select("row", "keys", "size", *(F.col("parities")[k].alias(f"p{k}") for k in words))
+    other = mark.select(*(F.col(c).alias(f"_{c}") for c in mark.columns))
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"_p{k}"))) for k in words), F.lit(0))
+    near = differ * (1 + similarity) <= (F.col("size") + F.col("_size")) * (1 - similarity) + 1e-6
+    once = F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")
+    joined = live.join(mark, "row").join(centre.join(other, "_row"), "key")
+    found = joined.filter((F.col("place") > F.col("_place")) & (F.col("part") != F.col("_part")) & near & once)
+    return found.select(F.greatest("row", "_row").alias("u"), F.least("row", "_row").alias("v"))
+
+
 def alike_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) for the rows of (row, text) that links reach; component is the least row."""
     key = Window.partitionBy("key")
-    keys = _longs_of(texts, lambda text: band_keys(shingle_set(text, shingle)), "keys").select("row", F.explode("keys").alias("key"))
-    live = cut(keys.withColumn("_n", F.count("*").over(key)).filter("_n > 1").select("key", "row"))
-    sets = cut(_longs_of(texts.join(live.select("row").distinct(), "row", "left_semi").select("row", "text"), lambda text: shingle_set(text, shingle), "hashes"))
-    first = live.withColumn("v", F.min("row").over(key)).filter("row > v").groupBy(F.col("row").alias("u")).agg(F.min("v").alias("v"))
-    links, centres = cut(_alike(first, sets, similarity)), STEP
+    keyed = cut(_longs_of(texts, lambda text: band_keys(shingle_set(text, shingle)), "keys"))
+    counted = keyed.select("row", F.explode("keys").alias("key")).withColumn("_n", F.count("*").over(key))
+    live = cut(counted.filter("_n > 1").select("key", "row"))
+    shared = texts.join(live.select("row").distinct(), "row", "left_semi").select("row", "text")
+    sets = cut(_longs_of(shared, lambda text: shingle_set(text, shingle), "hashes"))
+    first = live.withColumn("v", F.min("row").over(key)).filter("row > v").groupBy(F.col("row").alias("u")).agg(F.collect_set("v").alias("v"))
+    links, centres, marks = cut(_alike(first.select("u", F.explode("v").alias("v")), sets, similarity)), STEP, None
     while True:
         member = connected_components(links, "u", "v")
         named = live.join(member, live["row"] == member["node"], "left").select("key", "row", F.coalesce("component", "row").alias("part"))
@@ -99,10 +137,10 @@ def alike_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8
         live = cut(sized.withColumn("place", F.row_number().over(key.orderBy("_size", "row"))).select("key", "row", "part", "place"))
         if live.isEmpty():
             return member
+        if marks is None:
+            marks = cut(_marks(keyed, sets.join(live.select("row").distinct(), "row", "left_semi")))
         centre = live.filter(F.col("place") <= centres).select("key", F.col("row").alias("_row"), F.col("part").alias("_part"), F.col("place").alias("_place"))
-        pairs = live.join(centre, "key").filter("place > _place and part <> _part")
-        pairs = pairs.select(F.greatest("row", "_row").alias("u"), F.least("row", "_row").alias("v")).distinct()
-        links = cut(links.union(_alike(pairs, sets, similarity)))
+        links = cut(links.union(_alike(_candidates(live, centre, marks, similarity), sets, similarity)))
         live = live.filter(F.col("place") > centres).select("key", "row")
         centres *= STEP
 

@@ -370,6 +370,17 @@ def brute_unlike(rows):
     return [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    assert resemblance.parities(np.empty(0, np.uint64)).tolist() == [0] * (resemblance.PARITIES // 64)
+    for size in (1, 50, 5000):
+        a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        for changed in (0, 1, size // 5, size):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**64, changed, np.uint64)]))
+            differ = np.bitwise_count((resemblance.parities(a) ^ resemblance.parities(b)).view(np.uint64)).sum()
+            assert differ <= len(np.setxor1d(a, b)) and (changed > 0 or differ == 0)
+
+
 def test_alike_texts_equal_brute_force(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(400)]
