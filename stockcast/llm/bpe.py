@@ -24,6 +24,7 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN as SPACED
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -148,14 +149,16 @@ class Codec:
     """Encodes texts part by part and decodes ids; holds a bounded table of parts already encoded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        compiled = regex.compile(pattern)
         self.vocabulary = Vocabulary(ranks)
-        self.split = regex.compile(pattern).findall
+        self.split = (lambda text: [m[0] for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
+        self.spaced = pattern == SPACED
         self._chunks: dict[str, list[int]] = {}
 
-    def _chunk(self, chunk: str) -> list[int]:
-        """Encodes a part of a text that begins and ends where pieces do."""
+    def _chunk(self, chunk: str, whole: bool = False) -> list[int]:
+        """Encodes a part of a text that begins and ends where pieces do; whole: it is one piece."""
         out: list[int] = []
-        for p in [chunk] if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk.isalpha()) else self.split(chunk):
+        for p in [chunk] if whole or chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk.isalpha()) else self.split(chunk):
             data = p.encode()
             whole = self.vocabulary.ranks.get(data)
             out += PrefixEncoding(self.vocabulary, data).ids() if whole is None else [whole]
@@ -166,9 +169,14 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """A space before a character that isn't white space always begins a piece: texts are cut there first."""
+        """With the pattern SPACED, a space before a character that isn't white space always begins a piece, and a word of ASCII letters is
+        one: texts are cut there first. With any other, the pattern alone says where pieces are."""
         out: list[int] = []
         known, chunk = self._chunks.get, None
+        if not self.spaced:
+            for piece in self.split(text):
+                out += known(piece) or self._chunk(piece, whole=True)
+            return out
         for part in text.split(" "):
             if chunk is None:
                 chunk = part

@@ -8,10 +8,11 @@ and a sum per round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,54 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
 
 
+#: Rows up to which a table of a few numbers a row may be broadcast.
+MOST_BROADCAST = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if its rows, which are counted, are MOST_BROADCAST at most; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of types that have a hash."""
+    return [F.col(quoted(f.name)) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
+#: What names a row by its content: two hashes of the text, one of all columns. Rows alike in all three are interchangeable.
+CONTENT = ("_h1", "_h2", "_h3")
+
+
+def by_content(df: DataFrame, text_col: str) -> DataFrame:
+    """df with the columns CONTENT, so that rows are found again without a numbered copy of their texts."""
+    text = F.col(quoted(text_col))
+    return df.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(17), text), "_h3": F.xxhash64(*hashable(df))})
+
+
+def one_of_each(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """Those rows of by_content's frame that kept names by CONTENT, one for each name; with kept's other columns.
+
+    Rows alike go before texts are shuffled, so many of them do not meet in one task; the join finds the shuffle done.
+    """
+    return df.dropDuplicates(list(CONTENT)).join(kept, list(CONTENT))
+
+
+#: Folders that scratch_folder has named since clear_scratch.
+_folders: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name below the checkpoint folder, for a table that the rows returned are read from."""
+    _folders.append(f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables made so far; for a caller that has written all that was read from them."""
+    while _folders:
+        delete(spark, _folders.pop())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that a job of ours has written and nothing will read again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

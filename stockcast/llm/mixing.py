@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import cut, quoted
+from .components import cut, few, hashable, quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block and, about, of a shard; times that a document may be taken; the seed of all orders.
@@ -84,28 +84,36 @@ def apportion(units: DataFrame, seats: int, votes: str = "votes", limit: str = "
 
 
 def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard_words: int, max_repeats: int, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, whole (times taken whole), two part ranges of words, and the columns carried."""
+    """One row per document: id, source, size, source_size, target, whole (times taken whole), two part ranges of words, and the columns carried.
+
+    What is planned reads ids, sources, sizes and hashes alone; columns carried are read anew and go through one shuffle, to their shards.
+    """
     text = F.col(quoted(text_col))
-    sized = cut(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("hash"), *carried))
-    sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats))
+    light = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("hash"), *carried)
+    sized = cut(light.drop(*carried))
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats)
+    sources = cut(sources.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     # a source that gets words gets 32 blocks at least, so that rounding moves it little
     least = sources.filter("target > 0").agg(F.min("target")).first()[0]
     block = max(1, min(block, int((least or 0) // 32)))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
-    dealt = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "size", "source_size", "target", F.pmod(F.xxhash64("id", "hash", F.lit(seed)), shards).alias("shard"), "hash", *carried)
-    units = dealt.groupBy("source", "shard").agg(F.sum("size").alias("unit_size"), F.max(F.struct("source_size", "target")).alias("s")).filter("unit_size > 0")
-    units = cut(units.select("source", "shard", "unit_size", (F.col("s.target") * F.col("unit_size") / F.col("s.source_size")).alias("votes"), F.ceil(F.col("unit_size") * max_repeats / block).alias("limit")))
+    known = few(sources.withColumnRenamed("source", "_source"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
+        return joined.select("number", F.pmod(F.xxhash64("id", "hash", F.lit(seed)), shards).alias("shard"), *rows.columns, "source_size", "target")
+
+    units = dealt(sized).groupBy("number", "shard").agg(F.first("source").alias("source"), F.sum("size").alias("unit_size"), F.max(F.struct("source_size", "target")).alias("s")).filter("unit_size > 0")
+    units = cut(units.select("source", "number", "shard", "unit_size", (F.col("s.target") * F.col("unit_size") / F.col("s.source_size")).alias("votes"), F.ceil(F.col("unit_size") * max_repeats / block).alias("limit")))
     total = units.agg(F.sum("unit_size")).first()[0] or 0
-    quotas = apportion(units, round(total / block))
+    quotas = apportion(units, round(total / block), order=("number", "shard"))
     words = F.least(F.col("quota") * block, F.col("unit_size") * max_repeats)
     blocks = F.ceil(F.col("unit_size") / block)
-    quotas = quotas.select(
-        F.col("source").alias("_source"), F.col("shard").alias("_shard"), "unit_size", words.alias("_words"),
-        (F.pmod(F.xxhash64("source", "shard", F.lit(seed)), blocks) * block).alias("_start"),
-    )
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", "hash", F.lit(seed + 1)), "id", "hash", "size", *carried)
-    placed = dealt.withColumn("_off", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
+    quotas = few(quotas.select("number", "shard", "unit_size", words.alias("_words"), (F.pmod(F.xxhash64("source", "shard", F.lit(seed)), blocks) * block).alias("_start")))
+    ties = [F.xxhash64(*hashable(light.select(*carried)))] if carried else []
+    stream = Window.partitionBy("number", "shard").orderBy(F.xxhash64("id", "hash", F.lit(seed + 1)), "id", "hash", "size", *ties)
+    placed = dealt(light if carried else sized).withColumn("_off", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    placed = placed.join(quotas, ["number", "shard"], "left")
     end = F.col("_off") + F.col("size")
     rest = F.col("_words") % F.col("unit_size")
     stop = F.col("_start") + rest
@@ -135,15 +143,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options: int) -> DataFrame:
     """The mix itself, with the columns of docs: whole documents as often as they are taken whole, then their parts.
 
-    A part holds its words joined by single spaces, and its own length in length_col. Rows meet their plan by a row number,
-    so ids may be null or repeat.
+    A part holds its words joined by single spaces, and its own length in length_col. Rows are carried through the plan, so
+    ids may be null or repeat; columns of types that have no hash don't order rows that are alike in the others.
     """
     settings = {"block": BLOCK, "shard_words": SHARD_WORDS, "max_repeats": MAX_REPEATS, "seed": SEED} | options
     plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column's name clashes with the plan's
     text, length = F.col(plain[text_col]), plain.get(length_col)
-    numbered = cut(docs.toDF(*plain.values()).withColumn("_row", F.monotonically_increasing_id()))
-    plan = plan_mix(numbered, plain[id_col], plain[text_col], plain[source_col], **settings, carried=("_row",)).filter("whole > 0 or part1.n > 0 or part2.n > 0")
-    joined = numbered.join(plan.select("_row", "whole", "part1", "part2"), "_row")
+    plan = plan_mix(docs.toDF(*plain.values()), plain[id_col], plain[text_col], plain[source_col], **settings, carried=tuple(plain.values()))
+    joined = plan.filter("whole > 0 or part1.n > 0 or part2.n > 0")
     nothing = F.struct(F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("n"))
     copies = F.concat(F.array_repeat(nothing, F.col("whole").cast("int")), F.filter(F.array("part1", "part2"), lambda p: p["n"] > 0))
     each = joined.withColumn("_copy", F.explode(copies))

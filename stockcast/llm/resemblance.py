@@ -6,42 +6,48 @@ near-duplicate stage runs on the documents that stage's SimHash pass keeps.
 
 A text's shingles are hashed to a set. BANDS keys, each of ROWS minima of the set under different hashes, bring two sets
 of similarity s together with odds 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8. Whatever meets is compared exactly, by
-the sets themselves. Rows under a key are not paired with each other: every row is compared with one row of its keys
-first, what is alike becomes one component, and keys whose rows are all of one component are settled. In the
-others, some rows - STEP times as many in each round - are compared with the key's rows of other components, until every
-pair of different components under a key has been compared; so no link between different components is lost.
+the sets themselves, if sizes and parities allow the similarity: a set's parities are PARITIES bits, each 1 if an odd number of its
+hashes fall there, and two sets differ in at least as many hashes as their parities differ in bits, so what this test turns
+away cannot be alike. Fingerprints, keys, sizes and parities come from one pass over the texts.
 
-Keys of many texts that are not alike list no pairs: a pair is taken at its least common key only, and only if the parities of
-its sets allow the similarity. A set's parities are PARITIES bits, each 1 if an odd number of its hashes fall there.
-Two sets differ in at least as many hashes as their parities differ in bits, so what this test turns away cannot be alike.
+Rows under a key are not paired with each other: every row is compared with the least row that it meets first; what is
+alike becomes one component, and keys whose rows are all of one component are settled. In the others, some rows - one, then STEP
+times as many in each round - are compared with the key's rows of other components, until every pair of different components under a
+key has been compared; so no link between different components is lost. Keys of many texts that are not alike list no
+pairs: the test by sizes and parities stands in the join, whose large keys adaptive execution splits.
+
+Rows are known by their content, so texts are shuffled once and written once, to a table below the checkpoint folder, apart by
+whether they share a key: the sets are made of those that do, and only those are joined again in the end.
 
 Edge cases: texts without words (null, empty, white space) are alike to none here; fewer words than a shingle make one
-shingle; null and repeated ids are rows of their own; an empty table gives an empty result; texts of any length are
+shingle; null and repeated ids are rows of their own, but rows equal in every column are one; an empty table gives an empty result; texts of any length are
 read whole; other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .components import connected_components, cut
+from .components import CONTENT, by_content, connected_components, cut, one_of_each, scratch_folder
+from .simhash import fingerprint, first_of_each, order_of, words_of
 
 #: Keys of a text, minima in a key, and growth of the rows of a key that are compared with its others in a round.
 BANDS, ROWS, STEP = 24, 6, 64
-PARITIES = 1024
+#: Bits of a set's parities; words of a shingle of the fingerprints.
+PARITIES, PRINTED = 1024, 3
 _PIECES, _BLOCK, _AT_ONCE = 65_536, 2048, 256
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(k), 42) | 1 for k in range(BANDS * ROWS)], np.uint64)
 
 
-def shingle_set(text: str, shingle: int) -> np.ndarray:
-    """The different shingle hashes (XXH64), sorted; A-Z are lower-cased, words are separated by ASCII white space."""
-    words = text.encode().lower().split()
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """The different shingle hashes (XXH64) of the words of a text, sorted."""
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < shingle:
@@ -71,19 +77,53 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _longs_of(texts: DataFrame, make: Callable[[str], np.ndarray], name: str) -> DataFrame:
-    """(row, name): what make gives for each text."""
+def _longs(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+
+
+def _marks(named: DataFrame, shingle: int) -> DataFrame:
+    """(order, CONTENT, fp, size, keys, parities) of (order, CONTENT, text): all that one pass over the texts gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(at, _AT_ONCE)
-                found = [make(x.as_py() or "").view(np.int64) for x in part.column(1)]
-                ends = np.cumsum([0, *map(len, found)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", name])
+                prints, sizes, keys, bits = [], [], [], []
+                for text in part.column(4):
+                    words = words_of(text.as_py() or "")
+                    hashes = shingle_set(words, shingle)
+                    prints.append(fingerprint(words, PRINTED))
+                    sizes.append(len(hashes))
+                    keys.append(band_keys(hashes))
+                    bits.append(parities(hashes))
+                columns = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _longs(keys), _longs(bits)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *columns], names=[*part.schema.names[:4], "fp", "size", "keys", "parities"])
+
+    added = T._parse_datatype_string("fp long, size long, keys array<long>, parities array<long>")
+    return named.mapInArrow(run, T.StructType([*named.schema.fields[:4], *added.fields]))
+
 
-    return texts.mapInArrow(run, f"row long, {name} array<long>")
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, hashes) of (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(at, _AT_ONCE)
+                yield pa.RecordBatch.from_arrays([part.column(0), _longs([shingle_set(words_of(x.as_py() or ""), shingle) for x in part.column(1)])], names=["row", "hashes"])
+
+    return texts.mapInArrow(run, "row long, hashes array<long>")
+
+
+def _near(similarity: float) -> Column:
+    """Whether the sizes and parities of two rows, those of the second with an underscore, allow the similarity."""
+    differ = sum((F.bit_count(F.col("parities")[k].bitwiseXOR(F.col("_parities")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return differ * (1 + similarity) <= (F.col("size") + F.col("_size")) * (1 - similarity) + 1e-6
+
+
+def _other(marks: DataFrame) -> DataFrame:
+    return marks.select(*(F.col(c).alias(f"_{c}") for c in ("row", "size", "parities")))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -94,66 +134,63 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.filter(both / (F.size("_a") + F.size("_b") - both) >= similarity).select("u", "v")
 
 
-def _marks(keyed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(row, keys, size, parities) of the rows in sets."""
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """(key, row, least) of the keys of two or more rows; least is the least row of the key."""
+    each = nodes.select("row", F.explode("keys").alias("key"))
+    keys = each.groupBy("key").agg(F.count("*").alias("_n"), F.min("row").alias("least")).filter("_n > 1")
+    return each.join(keys, "key").select("key", "row", "least")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [parities(hashes.values.to_numpy().view(np.uint64)) for hashes in batch.column(1)]
-            sizes = pa.array([len(hashes) for hashes in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(bits, pa.list_(pa.int64()))], names=["row", "size", "parities"])
-
-    return keyed.join(sets.select("row", "hashes").mapInArrow(run, "row long, size long, parities array<long>"), "row")
-
-
-def _candidates(live: DataFrame, centre: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of a key's rows and its centres of other components that may reach the similarity, each pair once."""
-    words = range(PARITIES // 64)
-    mark = marks.select("row", "keys", "size", *(F.col("parities")[k].alias(f"p{k}") for k in words))
-    other = mark.select(*(F.col(c).alias(f"_{c}") for c in mark.columns))
-    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"_p{k}"))) for k in words), F.lit(0))
-    near = differ * (1 + similarity) <= (F.col("size") + F.col("_size")) * (1 - similarity) + 1e-6
-    once = F.array_min(F.array_intersect("keys", "_keys")) == F.col("key")
-    joined = live.join(mark, "row").join(centre.join(other, "_row"), "key")
-    found = joined.filter((F.col("place") > F.col("_place")) & (F.col("part") != F.col("_part")) & near & once)
-    return found.select(F.greatest("row", "_row").alias("u"), F.least("row", "_row").alias("v"))
-
-
-def alike_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, component) for the rows of (row, text) that links reach; component is the least row."""
-    key = Window.partitionBy("key")
-    keyed = cut(_longs_of(texts, lambda text: band_keys(shingle_set(text, shingle)), "keys"))
-    counted = keyed.select("row", F.explode("keys").alias("key")).withColumn("_n", F.count("*").over(key))
-    live = cut(counted.filter("_n > 1").select("key", "row"))
-    shared = texts.join(live.select("row").distinct(), "row", "left_semi").select("row", "text")
-    sets = cut(_longs_of(shared, lambda text: shingle_set(text, shingle), "hashes"))
-    first = live.withColumn("v", F.min("row").over(key)).filter("row > v").groupBy(F.col("row").alias("u")).agg(F.collect_set("v").alias("v"))
-    links, centres, marks = cut(_alike(first.select("u", F.explode("v").alias("v")), sets, similarity)), STEP, None
+
+def _components(nodes: DataFrame, live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the rows that links reach."""
+    marks = nodes.select("row", "size", "parities")
+    # every row with the least of the rows that it meets: in a group of copies, all with nearly one
+    first = live.filter("row > least").groupBy("row").agg(F.min("least").alias("_row"))
+    pairs = first.join(marks, "row").join(_other(marks), "_row").filter(_near(similarity)).select(F.col("row").alias("u"), F.col("_row").alias("v"))
+    links, centres = cut(_alike(pairs, sets, similarity)), 1
     while True:
         member = connected_components(links, "u", "v")
         named = live.join(member, live["row"] == member["node"], "left").select("key", "row", F.coalesce("component", "row").alias("part"))
-        open_keys = named.withColumns({"_low": F.min("part").over(key), "_high": F.max("part").over(key)}).filter("_low < _high")
-        sized = open_keys.withColumn("_size", F.count("*").over(Window.partitionBy("key", "part")))
-        live = cut(sized.withColumn("place", F.row_number().over(key.orderBy("_size", "row"))).select("key", "row", "part", "place"))
+        keys = named.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
+        live = cut(named.join(keys, "key"))
         if live.isEmpty():
             return member
-        if marks is None:
-            marks = cut(_marks(keyed, sets.join(live.select("row").distinct(), "row", "left_semi")))
-        centre = live.filter(F.col("place") <= centres).select("key", F.col("row").alias("_row"), F.col("part").alias("_part"), F.col("place").alias("_place"))
-        links = cut(links.union(_alike(_candidates(live, centre, marks, similarity), sets, similarity)))
-        live = live.filter(F.col("place") > centres).select("key", "row")
+        sized = live.join(live.groupBy("key", "part").agg(F.count("*").alias("_n")), ["key", "part"])
+        place = F.row_number().over(Window.partitionBy("key").orderBy("_n", "row"))
+        centre = cut(sized.withColumn("place", place).filter(F.col("place") <= centres).select("key", "row", "part"))
+        ends = centre.select("key", F.col("row").alias("_row"), F.col("part").alias("_part")).join(_other(marks), "_row")
+        met = live.join(marks, "row").join(ends, "key").filter((F.col("part") != F.col("_part")) & _near(similarity))
+        found = met.select(F.greatest("row", "_row").alias("u"), F.least("row", "_row").alias("v")).distinct()
+        links = cut(links.union(_alike(found, sets, similarity)))
+        live = live.join(centre, ["key", "row"], "left_anti").select("key", "row")
         centres *= STEP
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of alike texts, unchanged: that with the least id, nulls last, and of those the least hash of the text."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: bool = False) -> DataFrame:
+    """One row of each group of alike texts, unchanged: that with the least id, nulls last, and of those the least hash of the text.
+
+    With fingerprints, first one row of each group of stockcast.llm.simhash, in the same order, and of those one of each group of
+    alike ones. Rows equal in every column are one.
+    """
+    spark = docs.sparkSession
     plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column's name clashes with ours
-    numbered = cut(docs.toDF(*plain.values()).withColumn("_row", F.monotonically_increasing_id()))
-    texts = numbered.select(F.col("_row").alias("row"), F.col(plain[text_col]).alias("text"))
-    member = alike_components(texts, shingle, similarity)
-    name = F.col(plain[id_col])
-    order = F.struct(name.isNull().alias("unnamed"), name.alias("id"), F.xxhash64(plain[text_col]).alias("hash"), F.col("_row").alias("row"))
-    ranked = member.join(numbered.select("_row", order.alias("_order")), F.col("node") == F.col("_row"))
-    stays = ranked.groupBy("component").agg(F.min("_order").alias("_order")).select("component", F.col("_order.row").alias("_stays"))
-    gone = member.join(stays, "component").filter("node <> _stays").select(F.col("node").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*plain.values()).toDF(*docs.columns)
+    named = by_content(docs.toDF(*plain.values()), plain[text_col])
+    marked = cut(_marks(named.select(order_of(F.col(plain[id_col])), *CONTENT, F.col(plain[text_col]).alias("text")), shingle))
+    kept = marked.dropDuplicates(list(CONTENT))
+    if fingerprints:
+        kept = kept.join(first_of_each(marked), list(CONTENT), "left_semi")
+    nodes = cut(kept.drop("fp").withColumn("row", F.monotonically_increasing_id()))
+    live = cut(_meetings(nodes))
+    met = live.select("row").distinct().withColumn("_met", F.lit(True))
+    folder = scratch_folder(spark)
+    flagged = nodes.select(*CONTENT, "row").join(met, "row", "left").withColumn("_met", F.col("_met").isNotNull())
+    one_of_each(named, flagged).select("row", "_met", *plain.values()).write.option("compression", "zstd").partitionBy("_met").parquet(folder)
+    rows = spark.read.schema(T.StructType([T.StructField("row", T.LongType()), *docs.toDF(*plain.values()).schema.fields, T.StructField("_met", T.BooleanType())])).parquet(folder)
+    shared = rows.filter("_met")
+    sets = cut(_sets(shared.select("row", F.col(plain[text_col]).alias("text")), shingle))
+    member = _components(nodes, live.select("key", "row", "least"), sets, similarity)
+    ranked = member.join(nodes.select("row", "order"), F.col("node") == F.col("row"))
+    stays = ranked.groupBy("component").agg(F.min(F.struct("order", "row")).alias("_first")).select("component", F.col("_first.row").alias("_stays"))
+    gone = member.join(stays, "component").filter("node <> _stays").select(F.col("node").alias("row"))
+    out = rows.filter(~F.col("_met")).union(shared.join(gone, "row", "left_anti").select(*rows.columns))
+    return out.select(*plain.values()).toDF(*docs.columns)

@@ -118,12 +118,13 @@ def _joined_pieces(text: str, at: int) -> tuple[list[Piece], int]:
 
 
 def _listed(text: str, at: int) -> tuple[list[list[Piece]], int]:
-    """The elements of the list that opens at a bracket; it ends at the closing one or before a head.
+    """The elements of the list that opens at a bracket; it ends at the closing one, or before whatever is lexed by itself.
 
-    Quoted literals without a comma between them are pieces of one.
+    So of many brackets that nothing closes, each is read to the next such place only. Quoted literals without a comma
+    between them are pieces of one.
     """
     out: list[list[Piece]] = []
-    depth, apart = 0, True
+    depth, apart, event = 0, True, -1
     while at < len(text):
         c = text[at]
         if c in "[(":
@@ -136,10 +137,17 @@ def _listed(text: str, at: int) -> tuple[list[list[Piece]], int]:
             at, apart = at + 1, True
         elif m := _SPACE.match(text, at):
             at = m.end()
+            if text[at : at + 2] in ("- ", "-\t") and "\n" in m[0]:
+                break
         else:
-            pieces, end = ([], at) if _IS_HEAD.match(text, at) else _joined_pieces(text, at)
+            pieces, end = ([], at) if _EVENT.match(text, at) else _joined_pieces(text, at)
             if not pieces:
                 break
+            if event < at:
+                event = m.start() if (m := _EVENT.search(text, at)) else len(text)
+            if any(word is not None and a <= event < b for a, b, word in pieces):
+                out.append(pieces)
+                break
             if apart or pieces[0][2] is not None:
                 out.append(pieces)
             else:
@@ -180,10 +188,12 @@ def lex(text: str) -> list[tuple[str, float, list[list[Piece]]]]:
     frames: list[tuple[int, str, float]] = []  # (indentation, or -1 for a brace; key; weight) of the open blocks
     opens: tuple[int, str, float] | None = None  # where a brace would belong to the last head
     at = line = seen = 0
+    lead = _LEAD.match(text)
     while m := _EVENT.search(text, at):
         start, at = m.start(), m.end()
         if (newline := text.rfind("\n", seen, start)) >= 0:
             line = newline + 1
+            lead = _LEAD.match(text, line)
         seen = start
         if m["brace"] == "{":
             name, weight = opens[1:] if opens and opens[0] == start else frames[-1][1:] if frames else ("", 0.0)
@@ -193,7 +203,6 @@ def lex(text: str) -> list[tuple[str, float, list[list[Piece]]]]:
             while frames and frames.pop()[0] >= 0:
                 pass
             continue
-        lead = _LEAD.match(text, line)
         indent = lead.end() - line if lead.end() == start else len(m["item"].rstrip(" \t")) - 1 if m["item"] else None
         if indent is not None:
             while frames and (frames[-1][0] > indent if m["item"] else frames[-1][0] >= indent):

@@ -25,10 +25,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .components import connected_components, cut, quoted
+from .components import CONTENT, by_content, connected_components, cut, map_arrow, one_of_each, quoted
 
 MAX_BITS, GROUP = 3, 4096
 #: Fingerprints that one task makes variants of, about, and tasks at most.
@@ -36,9 +37,13 @@ EXPANDED, MOST_TASKS = 16_384, 4000
 _PIECES = 65_536
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Unsigned; A-Z are lower-cased, words are separated by ASCII white space."""
-    words = text.encode().lower().split()
+def words_of(text: str) -> list[bytes]:
+    """A-Z are lower-cased; words are separated by ASCII white space."""
+    return text.encode().lower().split()
+
+
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """Unsigned; of the words of a text."""
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
@@ -54,13 +59,14 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp): the fingerprint as a signed long."""
+    source = docs.select(quoted(id_col), quoted(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py() or "", shingle) for x in batch.column(1)], np.uint64)
+            found = np.array([fingerprint(words_of(x.as_py() or ""), shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    return map_arrow(source, run, T.StructType([source.schema[0], T.StructField("fp", T.LongType())]))
 
 
 def variants(fp: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +183,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _roots(marked: DataFrame) -> DataFrame:
+def roots(marked: DataFrame) -> DataFrame:
     """(fp, _root) for every fingerprint of marked; those that links reach share a root."""
     distinct = marked.select("fp").distinct()
     member = connected_components(near_links(distinct), "fp", "other")
@@ -187,24 +193,37 @@ def _roots(marked: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fp, component_id), one row per document; component_id is the least id that links reach."""
     plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    marked = cut(fingerprints(plain, "id", "text", shingle)).withColumnRenamed("id", id_col)
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    named = distinct.join(_roots(marked), "fp")
-    roots = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return marked.join(named.join(roots, "_root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    marked = cut(fingerprints(plain, "id", "text", shingle))
+    distinct = marked.groupBy("fp").agg(F.min("id").alias("_least"))
+    named = distinct.join(roots(marked), "fp")
+    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return marked.join(named.join(least, "_root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def first_of_each(marked: DataFrame) -> DataFrame:
+    """(CONTENT) of one row of each group of (order, CONTENT, fp): the first by order."""
+    least = marked.groupBy("fp").agg(F.min(F.struct("order", *CONTENT)).alias("_first"))
+    return least.join(roots(marked), "fp").groupBy("_root").agg(F.min("_first").alias("_first")).select(*(F.col(f"_first.{c}") for c in CONTENT))
+
+
+def order_of(name: Column) -> Column:
+    """By id, nulls last; then by the hash of the text."""
+    return F.struct(name.isNull().alias("unnamed"), name.alias("id"), F.col("_h1").alias("hash")).alias("order")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row of each group, unchanged: that with the least id, nulls last, and of those the least hash of the text.
 
-    Rows that repeat an id are rows of their own.
+    Rows that repeat an id are rows of their own, but for those equal in every column.
     """
     plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column's name clashes with ours
-    numbered = cut(docs.toDF(*plain.values()).withColumn("_row", F.monotonically_increasing_id()))
-    marked = cut(fingerprints(numbered, "_row", plain[text_col], shingle))
-    name = F.col(plain[id_col])
-    order = F.struct(name.isNull().alias("unnamed"), name.alias("id"), F.xxhash64(plain[text_col]).alias("hash"), F.col("_row").alias("row"))
-    ranked = marked.join(numbered.select("_row", order.alias("_order")), "_row")
-    least = ranked.groupBy("fp").agg(F.min("_order").alias("_order"))
-    kept = least.join(_roots(marked), "fp").groupBy("_root").agg(F.min("_order").alias("_order")).select(F.col("_order.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*plain.values()).toDF(*docs.columns)
+    named = by_content(docs.toDF(*plain.values()), plain[text_col])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(words_of(x.as_py() or ""), shingle) for x in batch.column(4)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found.view(np.int64))], names=[*batch.schema.names[:4], "fp"])
+
+    source = named.select(order_of(F.col(plain[id_col])), *CONTENT, F.col(plain[text_col]).alias("text"))
+    marked = cut(source.mapInArrow(run, T.StructType([*source.schema.fields[:4], T.StructField("fp", T.LongType())])))
+    return one_of_each(named, first_of_each(marked)).select(*plain.values()).toDF(*docs.columns)
