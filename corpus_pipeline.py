@@ -16,8 +16,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stockcast.llm import bpe, language_id, mixing, resemblance, secret_scan, simhash
-from stockcast.llm.components import delete, ensure_checkpoint_dir
+from stockcast.llm import bpe, language_id, mixing, resemblance, secret_scan
+from stockcast.llm.components import clear_scratch, delete, ensure_checkpoint_dir
 
 #: The least margin between the two best languages: below it they are as good as tied.
 LEAST_MARGIN = 0.001
@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resemblance.keep_one(simhash.keep_one(docs))
+    return resemblance.keep_one(docs, fingerprints=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        clear_scratch(spark)
         if k:
             delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
