@@ -32,14 +32,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of a batch.
+AT_ONCE = 512
+
+
 def quoted(name: str) -> str:
     """A column name as a reference to that very column, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """mapInArrow for frames whose columns may have any names: run sees them as c0, c1, ..."""
-    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+    """mapInArrow for frames whose columns may have any names: run sees them as c0, c1, ..., in batches of AT_ONCE rows at most.
+
+    What a worker makes of one batch stays in its memory, so small batches keep workers small.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, AT_ONCE) for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
+
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(sliced, schema)
 
 
 #: Rows up to which a table of a few numbers a row may be broadcast.
