@@ -122,11 +122,24 @@ def acf(df: DataFrame, lags: int, value: str = "sales") -> DataFrame:
     return sums.select("id", "n", each.alias("lag", "r"))
 
 
+def chi2_tail(q: Column, degrees: Column) -> Column:
+    """chi2_survival as an expression, for up to 200 degrees: one less the series of the incomplete gamma, within 1e-14."""
+    a, x = degrees / 2, q / 2
+    odd = degrees % 2 == 1
+    factors = F.transform(F.sequence(F.lit(0), F.ceil(a).cast("int") - 1), lambda k: F.log(k + F.when(odd, 0.5).otherwise(1.0)))
+    log_gamma = F.aggregate(factors, F.when(odd, 0.5 * math.log(math.pi)).otherwise(0.0), lambda s, v: s + v)  # of a + 1
+    first = F.exp(a * F.log(x) - x - log_gamma)
+    start = F.struct(first.alias("term"), first.alias("total"))
+    terms = F.sequence(F.lit(1), F.ceil(x + 12 * F.sqrt(x) + 60).cast("int"))
+    total = F.aggregate(terms, start, lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["total"] + s["term"] * x / (a + k)).alias("total")), lambda s: s["total"])
+    return F.when(x <= 0, 1.0).when(x > 700, 0.0).when(x.isNotNull() & degrees.isNotNull(), F.greatest(F.lit(0.0), 1 - total))
+
+
 def ljung_box(acf_rows: DataFrame, season: int = 7) -> DataFrame:
-    """(id, lags, q): the statistic at lag max(1, min(2 * season, n / 5))."""
+    """(id, lags, q, p): the statistic at lag max(1, min(2 * season, n / 5)), and the odds of a greater one in noise."""
     m = F.greatest(F.lit(1), F.least(F.lit(2 * season), F.floor(F.col("n") / 5)))
     used = acf_rows.filter((F.col("lag") >= 1) & (F.col("lag") <= m))
-    return used.groupBy("id", "n").agg(F.max("lag").alias("lags"), (F.col("n") * (F.col("n") + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("q")).drop("n")
+    return used.groupBy("id", "n").agg(F.max("lag").alias("lags"), (F.col("n") * (F.col("n") + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("q")).drop("n").withColumn("p", chi2_tail(F.col("q"), F.col("lags")))
 
 
 def chi2_survival(q: float, degrees: int) -> float:

@@ -13,12 +13,12 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..models import ets, gbt, sarima
-from . import features, folds
+from . import features, folds, pooled
 
 OUT = "id string, fold long, method string, horizon int, forecast double, fallback boolean"
 #: Days of history that the series models see; levels of the quantile method.
@@ -27,8 +27,8 @@ REGRESSORS = ("x_holiday", "x_pre_holiday", "x_snap")
 SERIES_METHODS = ("ets", "arima", "arima_plain", "arma")
 #: Boosted methods: loss, whether the target is relative to the 28-day level, whether recent rows weigh more.
 TREE_METHODS = {"xgboost": ("squared", False, False), "xgboost_rel": ("squared", True, False), "xgboost_poisson": ("poisson", False, False), "xgboost_rel_recent": ("squared", True, True), "xgboost_quantile": ("pinball", False, False)}
-#: Calls of one group beyond which folds go to another task.
-FOLDS_PER_TASK = 4
+#: Calls of one group beyond which folds go to another task, in layouts long enough; rows up to which a pool is fitted in one task.
+FOLDS_PER_TASK, POOL_ROWS = 4, 500_000
 
 
 def _origins(cfg: Config, last: date) -> list[tuple[int, np.datetime64]]:
@@ -40,11 +40,16 @@ def _one_thread() -> None:
         os.environ[name] = "1"
 
 
+def folds_per_task(cfg: Config) -> int:
+    """Short layouts are dealt fold by fold."""
+    return max(1, min(FOLDS_PER_TASK, cfg.n_folds // 8))
+
+
 def _chunked(df: DataFrame, cfg: Config, last: date, keys: list[str], groups: int, day: str, ahead: int) -> DataFrame:
     """Copies rows to each chunk of folds that can use them - those up to ahead days after its last origin - and deals the groups over
     tasks; the number is explicit so that small groups with much work aren't put together."""
-    origins = cfg.origins(last)
-    ends = [origins[min(k + FOLDS_PER_TASK, cfg.n_folds) - 1] for k in range(0, cfg.n_folds, FOLDS_PER_TASK)]
+    origins, size = cfg.origins(last), folds_per_task(cfg)
+    ends = [origins[min(k + size, cfg.n_folds) - 1] for k in range(0, cfg.n_folds, size)]
     chunks = F.array(*(F.struct(F.lit(k).alias("chunk"), F.lit(e).alias("end")) for k, e in enumerate(ends)))
     copies = df.withColumn("_c", F.explode(F.filter(chunks, lambda c: F.col(day) <= F.date_add(c["end"], ahead))))
     return copies.withColumn("chunk", F.col("_c.chunk")).drop("_c").repartition(max(1, min(groups * len(ends), 2000)), *keys, "chunk")
@@ -59,10 +64,15 @@ def _usable(values: np.ndarray, y: np.ndarray) -> bool:
 
 
 def series_orders(panel: DataFrame, cfg: Config, last: date, method: str) -> DataFrame:
-    """(id, p, q, sp, sq): the order of each series, from its history at the first scored origin (arima) or before the holdout."""
+    """(id, p, q, sp, sq): the order of each series, from its history at its first scored origin.
+
+    A series that is scored at no origin has no row; one to which no order can be fitted is an error.
+    """
     seasonal = method != "arma"
-    cutoff = cfg.origins(last)[0]
-    past = features.regressors(panel).filter(F.col("date") <= F.lit(cutoff)).select("id", "date", "sales", *REGRESSORS)
+    origins = F.array(*(F.lit(o) for o in cfg.origins(last)))
+    ready = F.date_add(F.min("date").over(Window.partitionBy("id")), cfg.min_train_days - 1)
+    cutoff = F.array_min(F.filter(origins, lambda o: o >= F.col("_ready")))
+    past = features.regressors(panel).withColumn("_ready", ready).filter(F.col("date") <= cutoff).select("id", "date", "sales", *REGRESSORS)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         _one_thread()
@@ -70,8 +80,8 @@ def series_orders(panel: DataFrame, cfg: Config, last: date, method: str) -> Dat
         x = pdf[list(REGRESSORS)].to_numpy() if method == "arima" else None
         try:
             order = sarima.select(pdf["sales"].to_numpy(), cfg.season, seasonal, x)
-        except ValueError:
-            order = (0, 0, 0, 0)
+        except ValueError as e:
+            raise RuntimeError(f"series {pdf['id'].iloc[0]}: {e}") from e
         return pd.DataFrame([(pdf["id"].iloc[0], *order)], columns=["id", "p", "q", "sp", "sq"])
 
     return past.groupBy("id").applyInPandas(choose, "id string, p int, q int, sp int, sq int")
@@ -101,15 +111,16 @@ def series_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, n_s
         pdf = pdf.sort_values("date")
         days, y, x = pdf["date"].to_numpy().astype("datetime64[D]"), pdf["sales"].to_numpy(float), pdf[list(REGRESSORS)].to_numpy(float)
         order = None
-        if method != "ets":
-            if pdf["p"].isna().any():
-                raise RuntimeError(f"series {pdf['id'].iloc[0]} is scored but has no order")
+        known = method != "ets" and pdf["p"].notna().all()
+        if known:
             order = tuple(int(v) for v in pdf[["p", "q", "sp", "sq"]].iloc[0])
         out = []
         for k, origin in origins:
             n = int(np.searchsorted(days, origin, side="right"))
-            if k // FOLDS_PER_TASK != pdf["chunk"].iloc[0] or n < cfg.min_train_days or len(days) - n < h:
+            if k // folds_per_task(cfg) != pdf["chunk"].iloc[0] or n < cfg.min_train_days or len(days) - n < h:
                 continue
+            if method != "ets" and not known:
+                raise RuntimeError(f"series {pdf['id'].iloc[0]} is scored but has no order")
             past = slice(max(0, n - RECENT), n)
             fallback = False
             try:
@@ -125,10 +136,32 @@ def series_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, n_s
     return _chunked(rows, cfg, last, ["id"], n_series, "date", h).groupBy("id", "chunk").applyInPandas(run, OUT)
 
 
-def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, settings: gbt.Settings | None = None, n_groups: int = 64) -> DataFrame:
+def _with_codes(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Who a row belongs to: for each column c a column code_c, its place among the sorted names of the row's pool."""
+    for c in columns:
+        place = F.row_number().over(Window.partitionBy("pool").orderBy(c)) - 1
+        rows = rows.join(rows.select("pool", c).distinct().withColumn(f"code_{c}", place.cast("double")), ["pool", c])
+    return rows
+
+
+def _pools_forecasts(rows: DataFrame, names: list[str], origins: list, settings: gbt.Settings, known: dict, method: str) -> DataFrame:
+    kind, relative, recent = TREE_METHODS[method]
+    made = lambda tau: pooled.Pools(rows, names, origins, settings, known, kind, tau, relative, recent).grow().predict()
+    if kind != "pinball":
+        return made(0.5).select("id", "fold", F.lit(method).alias("method"), "horizon", "forecast", "fallback")
+    keys, parts = ["id", "fold", "horizon"], made(LEVELS[0]).withColumnRenamed("forecast", "q0")
+    for k, tau in enumerate(LEVELS[1:], 1):
+        parts = parts.join(made(tau).select(*keys, F.col("forecast").alias(f"q{k}")), keys)
+    ordered = parts.select(*keys, "fallback", F.posexplode(F.array_sort(F.array(*(f"q{k}" for k in range(len(LEVELS)))))).alias("place", "forecast"))
+    label = F.array(*(F.lit(f"xgboost_q{round(100 * t)}") for t in LEVELS))[F.col("place")]
+    return ordered.select("id", "fold", label.alias("method"), "horizon", "forecast", "fallback")
+
+
+def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, settings: gbt.Settings | None = None, n_groups: int = 64, pool_rows: int = POOL_ROWS) -> DataFrame:
     """Forecasts of a boosted method; cfg.pool_by says which series share a fit (None: each alone).
 
-    The quantile method fits its levels in one call and returns one method per level, sorted so that levels
+    Pools have bins made once, of what is known at the first origin. If the largest has pool_rows rows at most, a pool is fitted in one
+    task per chunk of folds; else by the sums of stockcast.operators.pooled, which give the same trees. The quantile method fits its levels in one call and returns one method per level, sorted so that levels
     don't cross.
     """
     if method not in TREE_METHODS:
@@ -142,20 +175,26 @@ def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, setti
     rows = features.supervised(panel, cfg.horizon, cfg.use_price)
     if pool not in rows.columns:
         rows = rows.join(panel.groupBy("id").agg(F.first(pool).alias(pool)), "id")
-    rows = rows.withColumn("pool", F.col(pool).cast("string")).select("pool", "id", "item_id", "store_id", "origin_date", "target_date", "target", *names)
+    rows = rows.withColumn("pool", F.col(pool).cast("string")).select("pool", "id", "item_id", "store_id", "origin_date", "target_date", "target", *names, pooled.row_key("id", "origin_date", "horizon"))
+    known: dict = {}
+    if cfg.pool_by:
+        rows = _with_codes(rows, ("store_id", "item_id"))
+        names = [*names, "code_store_id", "code_item_id"]
+        known = pooled.edges(rows, names, settings.bins, str(origins[0][1]))
+        if (rows.groupBy("pool").count().agg(F.max("count")).first()[0] or 0) > pool_rows:
+            return _pools_forecasts(rows, names, origins, settings, known, method).filter(F.col("horizon") <= h)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _one_thread()
-        pdf = pdf.sort_values(["id", "origin_date", "horizon"])  # rows are sampled by position
+        pdf = pdf.sort_values(["id", "origin_date", "horizon"])  # sums of doubles in one order
         target_day, origin_day = (pdf[c].to_numpy().astype("datetime64[D]") for c in ("target_date", "origin_date"))
-        x = pdf[names].to_numpy(float)
-        if cfg.pool_by:  # who a row belongs to, as dense codes of the sorted names
-            x = np.column_stack([x, *(np.unique(pdf[c].to_numpy(str), return_inverse=True)[1] for c in ("store_id", "item_id"))])
+        x, keys = pdf[names].to_numpy(float), pdf["row_key"].to_numpy(np.int64)
+        binner = gbt.Binner(known[pdf["pool"].iloc[0]]) if known else None
         level = pdf["roll_mean_28"].to_numpy(float)
         y = pdf["target"].to_numpy(float) - (level if relative else 0)
         out = []
         for k, origin in origins:
-            if k // FOLDS_PER_TASK != pdf["chunk"].iloc[0]:
+            if k // folds_per_task(cfg) != pdf["chunk"].iloc[0]:
                 continue
             train, ask = target_day <= origin, origin_day == origin
             if not ask.any():
@@ -165,7 +204,7 @@ def tree_forecasts(panel: DataFrame, cfg: Config, last: date, method: str, setti
                 is_fit = (target_day[train] <= origin - np.timedelta64(90, "D"))
                 age = (origin - target_day[train]).astype(float)
                 weight = np.where(is_fit, 0.5 ** (age / features.HALF_LIFE), 1.0) if recent else None
-                made = [gbt.Model(gbt.Loss(kind, tau), settings).fit(x[train], y[train], is_fit, weight).predict(x[ask]) for tau in (LEVELS if kind == "pinball" else (0.5,))]
+                made = [gbt.Model(gbt.Loss(kind, tau), settings, binner).fit(x[train], y[train], is_fit, weight, keys[train]).predict(x[ask]) for tau in (LEVELS if kind == "pinball" else (0.5,))]
                 values = np.maximum(np.stack(made) + (level[ask] if relative else 0), 0)
                 values = np.sort(values, axis=0)
             else:

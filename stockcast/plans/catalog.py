@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, suite_config
-from ..operators import calendar, explore, features, fit, folds, order, panel, registry, scoring
+from ..operators import asof, calendar, explore, features, fit, folds, intermittent, order, panel, registry, scoring
 from ..sources import files, retail
 from ..streaming import hourly
 
@@ -701,6 +701,56 @@ for _name, _method, _pool in (
     _fitted(_name, _method, _pool)
 
 
+@query
+def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order line with its part's price on the order's date; prices hold from the date on at which they were charged."""
+    sold = retail.table(spark, sf_dir, "lineitem")
+    prices = sold.filter("l_quantity > 0").groupBy("l_partkey", retail.day("l_shipdate").alias("price_date")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    orders = retail.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), retail.day("o_orderdate").alias("order_date"))
+    lines = sold.join(orders, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "order_date")
+    return asof.asof_join(lines, prices, ("l_partkey",), "order_date", "price_date", ("price",))
+
+
+@query
+def croston(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Data(spark, sf_dir, "sparse")
+    return intermittent.predictions(d.panel(), d.cfg, d.last, ("croston", "croston_sba"))
+
+
+@query
+def tsb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Data(spark, sf_dir, "sparse")
+    return intermittent.predictions(d.panel(), d.cfg, d.last, ("tsb",))
+
+
+@query
+def demand_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of each method alone, and of the one that each class of demand is routed to."""
+    d = Data(spark, sf_dir, "sparse")
+    rows = d.panel()
+    made = d.predictions().unionByName(intermittent.predictions(rows, d.cfg, d.last))
+    every = made.unionByName(intermittent.routed(made, explore.series_stats(rows, d.holdout)))
+    return scoring.score_folds(every).groupBy("method").agg(F.count("rmsse").alias("n"), F.avg("rmsse").alias("rmsse"), F.avg("mae").alias("mae"), F.avg("bias").alias("bias"))
+
+
+def _fitted_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily quantiles of the quantile method itself, over the layout of development."""
+    d = Data(spark, sf_dir, cfg=DEV)
+    rows = d.panel()
+    return order.daily_native(fit.predictions(rows, d.cfg, d.last, fit.tree_forecasts(rows, d.cfg, d.last, "xgboost_quantile", n_groups=4)))
+
+
+@query
+def daily_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted_levels(spark, sf_dir).select("id", "method", "fold", "horizon", "tau", "actual", "q", "source")
+
+
+@query
+def weekly_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the weekly sums of fitted daily quantiles, by level."""
+    return order.summarise_quantiles(order.score_quantiles(order.weekly_native(_fitted_levels(spark, sf_dir))), by=("method", "tau"))
+
+
 @query
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly.hourly_totals(retail.table(spark, sf_dir, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -179,7 +179,9 @@ P["centred"] = "SELECT id, date, sales - AVG(sales) OVER (PARTITION BY id) AS c,
 P["centred_sq"] = "SELECT *, SUM(c * c) OVER (PARTITION BY id) AS ss FROM centred"
 P["auto"] = "SELECT a.id, a.n, l.k AS lag, SUM(a.c * b.c) / NULLIF(MIN(a.ss), 0) AS r FROM centred_sq a CROSS JOIN range(0, 29) l(k) JOIN centred b ON b.id = a.id AND b.date = a.date - CAST(l.k AS INTEGER) GROUP BY ALL"
 oracle("acf", "SELECT id, n, lag, r FROM auto", "r", "lag")
-oracle("ljung_box_q", "SELECT id, MAX(lag) AS lags, n * (n + 2) * SUM(r * r / (n - lag)) AS q FROM auto WHERE lag >= 1 AND lag <= GREATEST(1, LEAST(14, n // 5)) GROUP BY id, n", "q", "lags")
+# The tail of an even number of degrees in closed form; all series here are long enough for 14.
+oracle("ljung_box_q", """SELECT id, lags, q, exp(-q / 2) * (SELECT SUM(pow(q / 2, k) / factorial(CAST(k AS INTEGER))) FROM range(lags // 2) t(k)) AS p FROM (
+  SELECT id, MAX(lag) AS lags, n * (n + 2) * SUM(r * r / (n - lag)) AS q FROM auto WHERE lag >= 1 AND lag <= GREATEST(1, LEAST(14, n // 5)) GROUP BY id, n)""", "q p", "lags")
 for by, e in (("dow", "isodow(date) - 1"), ("month", "month(date)")):
     oracle({"dow": "weekday_profile", "month": "month_profile"}[by], f"SELECT id, store_id, {e} AS {by}, AVG(sales) AS mean_sales FROM panel_dense GROUP BY ALL", "mean_sales", by)
 P["cells_dow"] = "SELECT id, isodow(date) - 1 AS dow, AVG(sales) AS m FROM panel_sparse GROUP BY ALL"
@@ -284,3 +286,30 @@ oracle("zero_rates", "SELECT store_id, item_id, zero_rate, mean_sales, ROW_NUMBE
 oracle("worst_zero_runs", "SELECT p.id, COALESCE(MAX(z.n), 0) AS max_zero_run FROM (SELECT DISTINCT id FROM panel_sparse) p LEFT JOIN zeros_panel_sparse z ON z.id = p.id GROUP BY p.id ORDER BY 2 DESC, 1 LIMIT 5", "", "max_zero_run")
 oracle("tau_lines", "SELECT tau, AVG(pinball_rel) AS pinball_rel, AVG(covered::INT::DOUBLE) AS coverage FROM scored WHERE method = 'seasonal_naive' GROUP BY tau", "pinball_rel coverage")
 oracle("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY ALL", "total")
+
+# Intermittent demand: the recursion day by day, all series side by side.
+P["ordered_sparse"] = "SELECT id, date, sales, ROW_NUMBER() OVER (PARTITION BY id ORDER BY date) AS k FROM panel_sparse"
+P["smoothed_sparse"] = """SELECT * FROM (WITH RECURSIVE r AS (
+  SELECT id, k, CASE WHEN sales > 0 THEN sales END AS z, CASE WHEN sales > 0 THEN 1.0::DOUBLE END AS p, CASE WHEN sales > 0 THEN 1.0::DOUBLE END AS d, CASE WHEN sales > 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS q FROM ordered_sparse WHERE k = 1
+  UNION ALL
+  SELECT o.id, o.k, CASE WHEN o.sales > 0 THEN COALESCE(r.z + 0.1::DOUBLE * (o.sales - r.z), o.sales) ELSE r.z END, CASE WHEN o.sales > 0 THEN COALESCE(r.p + 0.1::DOUBLE * (r.q - r.p), r.q) ELSE r.p END,
+    COALESCE(r.d + 0.05::DOUBLE * ((o.sales > 0)::INT - r.d), CASE WHEN o.sales > 0 THEN 1 / r.q END), CASE WHEN o.sales > 0 THEN 1.0::DOUBLE ELSE r.q + 1 END
+  FROM r JOIN ordered_sparse o ON o.id = r.id AND o.k = r.k + 1
+) SELECT r.*, o.date FROM r JOIN ordered_sparse o USING (id, k))"""
+P["rates_sparse"] = """SELECT id, date, unnest([{'method': 'croston', 'forecast': COALESCE(z / p, 0.0)}, {'method': 'croston_sba', 'forecast': COALESCE(z / p * 0.95::DOUBLE, 0.0)}, {'method': 'tsb', 'forecast': COALESCE(d * z, 0.0)}], recursive := true)
+  FROM smoothed_sparse"""
+P["sporadic_sparse"] = """SELECT m.id, m.item_id, m.store_id, m.fold, m.origin, m.week_kind, r.method, 'model' AS kind, m.horizon, m.target_date, m.actual, r.forecast, m.scale, m.closure, m.holiday_window, false AS fallback
+  FROM made_sparse_weekly m JOIN rates_sparse r ON r.id = m.id AND r.date = m.origin"""
+oracle("croston", "SELECT * FROM sporadic_sparse WHERE method <> 'tsb'", "actual forecast scale", "horizon")
+oracle("tsb", "SELECT * FROM sporadic_sparse WHERE method = 'tsb'", "actual forecast scale", "horizon")
+oracle("demand_routing", """SELECT method, COUNT(rmsse) AS n, AVG(rmsse) AS rmsse, AVG(mae) AS mae, AVG(bias) AS bias FROM (
+  SELECT id, fold, method, CASE WHEN MIN(scale) > 0 THEN sqrt(AVG((forecast - actual) ** 2)) / MIN(scale) END AS rmsse, AVG(abs(forecast - actual)) AS mae, AVG(forecast - actual) AS bias FROM (
+    SELECT * FROM pred_sparse_weekly UNION ALL BY NAME SELECT * FROM sporadic_sparse UNION ALL BY NAME
+    SELECT * REPLACE ('routed' AS method) FROM (SELECT * FROM pred_sparse_weekly UNION ALL BY NAME SELECT * FROM sporadic_sparse) a SEMI JOIN (
+      SELECT id, CASE demand_class WHEN 'smooth' THEN 'moving_average_28' WHEN 'intermittent' THEN 'croston_sba' WHEN 'lumpy' THEN 'tsb' ELSE 'mean' END AS method FROM stats_sparse) s ON s.id = a.id AND s.method = a.method
+  ) WHERE NOT closure GROUP BY id, fold, method) GROUP BY method""", "rmsse mae bias")
+
+# As-of join: each order line with the price of its part on the order's date, from prices that hold from their date on.
+P["order_lines"] = "SELECT l_orderkey, l_linenumber, l_partkey, CAST(o_orderdate AS DATE) AS order_date FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+P["dated_prices"] = "SELECT l_partkey, CAST(l_shipdate AS DATE) AS price_date, MIN(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL"
+oracle("price_as_of", "SELECT l.*, p.price_date, p.price FROM order_lines l ASOF LEFT JOIN dated_prices p ON p.l_partkey = l.l_partkey AND l.order_date >= p.price_date", "price", "l_linenumber")

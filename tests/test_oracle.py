@@ -34,7 +34,7 @@ def table(columns, rows):
 
 
 def test_every_query_has_sql_or_is_fitted():
-    assert set(QUERIES) - set(ORACLES) == {"ets", "arima", "arima_plain", "arma", "gbt", "gbt_pooled", "gbt_rel", "gbt_rel_pooled", "gbt_poisson", "gbt_rel_recent", "gbt_quantiles"}
+    assert set(QUERIES) - set(ORACLES) == {"ets", "arima", "arima_plain", "arma", "gbt", "gbt_pooled", "gbt_rel", "gbt_rel_pooled", "gbt_poisson", "gbt_rel_recent", "gbt_quantiles", "daily_fitted", "weekly_fitted"}
 
 
 @pytest.mark.parametrize("name", NAMES)
