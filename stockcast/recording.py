@@ -1,4 +1,4 @@
-"""Runs on record: two Parquet tables below a folder, filled by runs or from cached predictions, and their command line.
+"""Runs on record: two tables that change as one (stockcast.sources.snapshots), filled by runs or from cached predictions, and their command line.
 
     python -m stockcast.recording --registry DIR list|show RUN|last|compare RUN RUN|refresh|backfill --predictions DIR
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 import sys
 import time
-import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .config import Config, unpooled
 from .models import ets, gbt, sarima
 from .operators import features, fit, folds, registry, scoring
-from .sources import files
+from .sources import files, snapshots
 
 BENCH = (scoring.REFERENCE, registry.STRESS)
 
@@ -29,42 +29,28 @@ def digests() -> dict[str, str]:
     return out | {m: files.code_digest(features, gbt, fit.tree_forecasts) for m in fit.TREE_METHODS}
 
 
-def tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, fold scores) on record; empty ones where there is nothing yet."""
-    out = []
-    for name, schema in (("run", registry.RUN), ("fold_score", registry.FOLD_SCORE)):
-        path = f"{root}/{name}"
-        out.append(spark.read.schema(schema).parquet(path) if files.exists(spark, path) else spark.createDataFrame([], schema))
-    return out[0], out[1]
+SCHEMAS = {"run": registry.RUN, "fold_score": registry.FOLD_SCORE}
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    """Writes the small run table anew beside the old one, then puts it in its place."""
-    spark = df.sparkSession
-    new = f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    old, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(target, old)
-
+def tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, fold scores) on record; empty ones where there is nothing yet."""
+    held = snapshots.read(spark, root, SCHEMAS)[2]
+    return held["run"], held["fold_score"]
 
-def insert(root: str, incoming: DataFrame, scores: DataFrame) -> int:
-    """Adds runs that are not on record with their fold scores; of the others only new notes are kept. Returns how many are new.
 
-    Scores go first, so that a run on record always has its scores; scores of a run that is not are replaced with it.
-    """
+def insert(root: str, incoming: DataFrame, scores: DataFrame, after_write: Callable[[], None] | None = None) -> int:
+    """Adds runs that are not on record with their fold scores, as one commit; of the others only new notes are kept. Returns how many are new."""
     spark = incoming.sparkSession
-    recorded, known = tables(spark, root)
-    fresh = files.typed(registry.new_runs(recorded, incoming), registry.RUN).persist()
-    n = fresh.count()
-    if n:
+
+    def change(held: snapshots.Frames) -> tuple[snapshots.Frames, snapshots.Frames, int]:
+        recorded = held["run"]
+        fresh = files.typed(registry.new_runs(recorded, incoming), registry.RUN)
+        n = fresh.count()
+        noted = registry.add_notes(recorded, incoming.join(recorded.select("run_id"), "run_id", "left_semi"))
         rows = files.typed(registry.fold_score_rows(scores), registry.FOLD_SCORE).join(fresh.select("run_id"), "run_id", "left_semi")
-        rows.join(known.select("run_id").distinct(), "run_id", "left_anti").write.mode("append").parquet(f"{root}/fold_score")
-    noted = registry.add_notes(recorded, incoming.join(recorded.select("run_id"), "run_id", "left_semi"))
-    _replace(noted.unionByName(fresh), f"{root}/run")
-    fresh.unpersist()
-    return n
+        return {"run": files.typed(noted.unionByName(fresh), registry.RUN)}, {"fold_score": rows} if n else {}, n
+
+    return snapshots.commit(spark, root, SCHEMAS, change, after_write)
 
 
 def _run(predictions: DataFrame, bench: DataFrame, cfg: Config, code: str, told: dict[str, object]) -> tuple[DataFrame, DataFrame]:
@@ -104,13 +90,14 @@ def cached(panel: DataFrame, cfg: Config, last: object, method: str, predictions
 
 def refresh(spark: SparkSession, root: str, now: dict[str, str] | None = None) -> int:
     """Sets code_current of every run anew; returns how many changed."""
-    recorded, _ = tables(spark, root)
-    new = registry.refreshed(recorded, digests() if now is None else now).persist()
-    changed = new.select("run_id", F.col("code_current").alias("_now")).join(recorded, "run_id").filter("not (code_current <=> _now)").count()
-    if changed:
-        _replace(new, f"{root}/run")
-    new.unpersist()
-    return changed
+    now = digests() if now is None else now
+
+    def change(held: snapshots.Frames) -> tuple[snapshots.Frames, snapshots.Frames, int]:
+        new = registry.refreshed(held["run"], now)
+        changed = new.select("run_id", F.col("code_current").alias("_now")).join(held["run"], "run_id").filter("not (code_current <=> _now)").count()
+        return {"run": files.typed(new, registry.RUN)} if changed else {}, {}, changed
+
+    return snapshots.commit(spark, root, SCHEMAS, change)
 
 
 def backfill(panel: DataFrame, last: object, root: str, predictions: str) -> list[str]:
