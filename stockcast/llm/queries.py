@@ -157,6 +157,17 @@ WITH RECURSIVE ok AS (
 ), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
 least AS (SELECT a, MIN(b) AS c FROM reach GROUP BY a), degree AS (SELECT a, COUNT(*) AS n FROM link GROUP BY a)
 SELECT e.vec_id, COALESCE(d.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept FROM embeddings e JOIN least m ON m.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+""",
+    "op5_warc": """
+WITH page AS (SELECT page_id, COALESCE(html, '') AS h FROM pages), told AS (
+  SELECT page_id, octet_length(encode(h)) AS n, MAX(page_id) OVER (PARTITION BY h) AS first,
+    array_to_string(list_transform(string_split(sha1(h), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS bits
+  FROM page
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) << CAST(4 - j AS INTEGER))) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM told
 """,
     "op11_chat_format": chat_sql(),
     "op13_vector_codes": vector_codes_sql(),
