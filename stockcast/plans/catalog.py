@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, suite_config
-from ..operators import asof, calendar, explore, features, fit, folds, intermittent, order, panel, registry, scoring
+from ..operators import asof, calendar, explore, features, fit, folds, intermittent, order, panel, registry, scoring, sketches
 from ..sources import files, retail
 from ..streaming import hourly
 
@@ -701,6 +701,14 @@ for _name, _method, _pool in (
     _fitted(_name, _method, _pool)
 
 
+@query
+def calibrate_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expanding offsets of all series of an item together, from merged sketches, which are exact at this number of errors."""
+    d = Data(spark, sf_dir, "sparse")
+    keys = ("item_id", "method")
+    return sketches.expanding(sketches.error_sketches(d.weekly(), keys), d.scored_from, keys)
+
+
 @query
 def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order line with its part's price on the order's date; prices hold from the date on at which they were charged."""

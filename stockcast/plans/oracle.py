@@ -313,3 +313,9 @@ oracle("demand_routing", """SELECT method, COUNT(rmsse) AS n, AVG(rmsse) AS rmss
 P["order_lines"] = "SELECT l_orderkey, l_linenumber, l_partkey, CAST(o_orderdate AS DATE) AS order_date FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 P["dated_prices"] = "SELECT l_partkey, CAST(l_shipdate AS DATE) AS price_date, MIN(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY ALL"
 oracle("price_as_of", "SELECT l.*, p.price_date, p.price FROM order_lines l ASOF LEFT JOIN dated_prices p ON p.l_partkey = l.l_partkey AND l.order_date >= p.price_date", "price", "l_linenumber")
+
+# Pooled calibration: the errors of an item's series together, as ranks without interpolation.
+oracle("calibrate_pooled", """SELECT t.item_id, t.method, t.fold, q.tau, (SELECT MIN(x) FROM (SELECT x, ROW_NUMBER() OVER (ORDER BY x) AS r FROM (SELECT unnest(t.errors) AS x)) WHERE r >= q.tau * len(t.errors) - 1e-9) AS "offset", len(t.errors) AS n_calib FROM (
+  SELECT f.item_id, f.method, f.fold, (SELECT list(w.error) FROM week_sparse_weekly w WHERE w.error IS NOT NULL AND w.item_id = f.item_id AND w.method = f.method AND w.origin <= f.origin - 7) AS errors
+  FROM (SELECT DISTINCT item_id, method, fold, origin FROM week_sparse_weekly WHERE error IS NOT NULL AND origin >= (SELECT day FROM from_weekly)) f
+) t CROSS JOIN (VALUES (0.3), (0.5), (0.7), (0.9)) q(tau) WHERE len(t.errors) > 0""", '"offset" tau', "n_calib")

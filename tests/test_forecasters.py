@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stockcast.config import Config
 from stockcast.models import ets, sarima
-from stockcast.operators import asof, explore, fit, intermittent
+from stockcast.operators import asof, explore, fit, intermittent, order, sketches
 
 
 def simulated(seed, n=1100, ar=0.7, ma=0.4, seasonal=-0.6):
@@ -187,3 +187,22 @@ def test_as_of_rows_equal_brute_force(spark):
     assert asof.asof_join(a, b.filter("false"), ("id",), "at", "since", ("v",)).filter("since is not null").count() == 0
     with pytest.raises(ValueError):
         asof.asof_join(a.withColumn("v", F.lit(1)), b, ("id",), "at", "since", ("v",))
+
+
+def test_sketched_offsets_have_the_ranks_they_should(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a" if k % 3 else "b", "m", k % 25, float(v)) for k, v in enumerate(rng.gamma(2, 5, 6000))] + [("c", "m", 3, 1.5), ("c", "m", 4, None)]
+    df = spark.createDataFrame(rows, "id string, method string, fold long, error double").selectExpr("*", "date_add(date'1999-01-01', cast(7 * fold as int)) as origin")
+    start = df.filter("fold = 10").first()["origin"]
+    worst = 0.0
+    found = sketches.expanding(sketches.error_sketches(df), start).collect()
+    for r in found:
+        past = sorted(v for i, _, fold, v in rows if i == r["id"] and v is not None and fold < r["fold"])
+        assert r["n_calib"] == len(past)
+        worst = max(worst, abs(sum(v <= r["offset"] for v in past) / len(past) - r["tau"]) - 1 / len(past))
+    assert len(found) == 2 * 15 * 4 and worst < 1.9 / sketches.SIZE * 2
+    small = df.filter("fold < 13")
+    exact = sketches.calibrated(small, start, most_exact=10_000)
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, order.calibrate_expanding(small, start).collect()))
+    assert {r["n_calib"] for r in sketches.calibrated(small, start, most_exact=10).collect()} == {r["n_calib"] for r in exact.collect()}
+    assert sketches.expanding(sketches.error_sketches(df.filter("false")), start).count() == 0
