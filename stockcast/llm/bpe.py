@@ -32,7 +32,7 @@ from .components import map_arrow, quoted
 
 #: Parts of texts kept in a worker's table of encodings, and their greatest length in characters.
 #: Both bound memory only: a part that is not kept is encoded again.
-KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 300_000, 40, 500_000
+KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 300_000, 40, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -48,7 +48,8 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.slice(at, AT_ONCE) for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
+        yield from run(batch.slice(at, AT_ONCE) for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(sliced, schema)
 
@@ -113,16 +114,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Rows of a small table that one task may read.
+TASK_ROWS = 50_000
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """cut(df), read by as many tasks as its rows need, so that small tables don't make many small shuffle files."""
+    df = cut(df)
+    return df.coalesce(tasks_for(df.count()))
+
+
+def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Links each node's neighbours (the larger ones if large, else the smaller ones and itself) to its least neighbour."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
     joined = both.join(least, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+    return out.filter(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -138,8 +153,9 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before or not now[0]:
             break
-        before = now
-        links = cut(_star(_star(links, large=True), large=False))
+        before, tasks = now, tasks_for(2 * now[0])
+        links = cut(_star(_star(links.coalesce(tasks), True, tasks), False, tasks))
+    links = links.coalesce(tasks_for(now[0]))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -11,7 +11,7 @@ hashes fall there, and two sets differ in at least as many hashes as their parit
 away cannot be alike. Fingerprints, keys, sizes and parities come from one pass over the texts.
 
 Rows under a key are not paired with each other: every row is compared with the least row that it meets first; what is
-alike becomes one component, and keys whose rows are all of one component are settled. In the others, some rows - one, then STEP
+alike becomes one component, and keys whose rows are all of one component are settled. In the others, some rows - STEP, then STEP
 times as many in each round - are compared with the key's rows of other components, until every pair of different components under a
 key has been compared; so no link between different components is lost. Keys of many texts that are not alike list no
 pairs: the test by sizes and parities stands in the join, whose large keys adaptive execution splits.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import CONTENT, by_content, connected_components, cut, one_of_each, scratch_folder
+from .components import CONTENT, by_content, connected_components, cut, one_of_each, scratch_folder, settled
 from .simhash import fingerprint, first_of_each, order_of, words_of
 
 #: Keys of a text, minima in a key, and growth of the rows of a key that are compared with its others in a round.
@@ -127,11 +127,11 @@ def _other(marks: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets reach the similarity."""
+    """Those rows of pairs (u, v, ...) whose sets reach the similarity."""
     one, other = sets.select(F.col("row").alias("u"), F.col("hashes").alias("_a")), sets.select(F.col("row").alias("v"), F.col("hashes").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     joined = pairs.join(one, "u").join(other, "v")
-    return joined.filter(both / (F.size("_a") + F.size("_b") - both) >= similarity).select("u", "v")
+    return joined.filter(both / (F.size("_a") + F.size("_b") - both) >= similarity).select(*pairs.columns)
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
@@ -141,27 +141,38 @@ def _meetings(nodes: DataFrame) -> DataFrame:
     return each.join(keys, "key").select("key", "row", "least")
 
 
+def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (u, v) between components, or rows that are in none yet."""
+    found = connected_components(links, "u", "v").select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    moved = member.join(found, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_component", "component").alias("component"))
+    fresh = found.join(member, F.col("_node") == F.col("node"), "left_anti").select(F.col("_node").alias("node"), F.col("_component").alias("component"))
+    return settled(moved.union(fresh))
+
+
 def _components(nodes: DataFrame, live: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of the rows that links reach."""
     marks = nodes.select("row", "size", "parities")
     # every row with the least of the rows that it meets: in a group of copies, all with nearly one
     first = live.filter("row > least").groupBy("row").agg(F.min("least").alias("_row"))
     pairs = first.join(marks, "row").join(_other(marks), "_row").filter(_near(similarity)).select(F.col("row").alias("u"), F.col("_row").alias("v"))
-    links, centres = cut(_alike(pairs, sets, similarity)), 1
+    member = settled(connected_components(settled(_alike(pairs, sets, similarity)), "u", "v"))
+    live, centres = live.select("key", "row"), STEP
     while True:
-        member = connected_components(links, "u", "v")
         named = live.join(member, live["row"] == member["node"], "left").select("key", "row", F.coalesce("component", "row").alias("part"))
         keys = named.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
-        live = cut(named.join(keys, "key"))
+        live = settled(named.join(keys, "key"))
         if live.isEmpty():
             return member
         sized = live.join(live.groupBy("key", "part").agg(F.count("*").alias("_n")), ["key", "part"])
         place = F.row_number().over(Window.partitionBy("key").orderBy("_n", "row"))
-        centre = cut(sized.withColumn("place", place).filter(F.col("place") <= centres).select("key", "row", "part"))
+        centre = settled(sized.withColumn("place", place).filter(F.col("place") <= centres).select("key", "row", "part"))
         ends = centre.select("key", F.col("row").alias("_row"), F.col("part").alias("_part")).join(_other(marks), "_row")
         met = live.join(marks, "row").join(ends, "key").filter((F.col("part") != F.col("_part")) & _near(similarity))
-        found = met.select(F.greatest("row", "_row").alias("u"), F.least("row", "_row").alias("v")).distinct()
-        links = cut(links.union(_alike(found, sets, similarity)))
+        one, other = F.struct("row", "part"), F.struct(F.col("_row").alias("row"), F.col("_part").alias("part"))
+        found = met.select(F.greatest(one, other).alias("a"), F.least(one, other).alias("b")).distinct().select(F.col("a.row").alias("u"), F.col("b.row").alias("v"), F.col("a.part").alias("pu"), F.col("b.part").alias("pv"))
+        links = settled(_alike(found, sets, similarity).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+        if not links.isEmpty():
+            member = _joined(member, links)
         live = live.join(centre, ["key", "row"], "left_anti").select("key", "row")
         centres *= STEP
 
