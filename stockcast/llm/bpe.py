@@ -6,6 +6,9 @@ pair (last token of prefix ``j``, ``t``) is stable under the merge rules; walkin
 backwards gives the encoding. Storing them makes appends exact (only new prefixes are computed) and
 lets an edit recompute only the prefixes near it.
 
+Most pieces of a text are a few bytes long, and many are seen for the first time. Those of a group of texts are
+merged together, by the definition below: arrays hold the pieces' tokens, and each round merges the best pair of every piece.
+
 Semantics follow rank-based BPE: a piece that is a vocabulary entry is that token; else the adjacent
 pair whose concatenation has the lowest rank merges first, the leftmost on ties.
 
@@ -18,10 +21,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from public_tokenizers import PATTERN as SPACED
@@ -34,6 +40,16 @@ from .components import map_arrow, quoted
 #: Both bound memory only: a part that is not kept is encoded again.
 KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 300_000, 40, 500_000
 
+#: Characters of the texts that are encoded together, parts of one longer text that are, pieces of a block, and the greatest
+#: lengths in bytes of a block's pieces (powers of two); longer pieces are encoded by prefixes.
+GROUP_CHARS, GROUP_PARTS, BLOCK, WIDTHS = 1 << 20, 1 << 17, 8192, (8, 16, 32)
+
+#: A space that begins a piece, and one that doesn't, in texts of the pattern SPACED.
+CUT, UNCUT = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
+
+#: No pair.
+NONE = 1 << 62
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks from a file of ``base64(token) rank`` lines."""
@@ -84,6 +100,66 @@ class Vocabulary:
         return ok
 
 
+class PairTable:
+    """Ranks of adjacent tokens, and the merging of many short pieces at once.
+
+    Only for ranks that hold every single byte: then whatever a merge makes is a token.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(ranks[a], ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
+        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        self.base = max(ranks.values()) + 2  # so that -1, no token, makes no key
+        order = np.argsort(left * self.base + right)
+        self.keys, self.ranks = (left * self.base + right)[order], rank[order]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.bytes = self.find(np.repeat(self.single, 256), np.tile(self.single, 256))
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NONE if it doesn't merge."""
+        if not len(self.keys):
+            return np.full(len(left), NONE)
+        wanted = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.ranks[at], NONE)
+
+    def merge(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The encodings, as int32, of pieces of 1 to width bytes. A column is a piece; the row below the last stands for what lies outside."""
+        n, bits, rows = len(pieces), width.bit_length() - 1, np.arange(width)[:, None]
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width).T.astype(np.int64)
+        inside = rows < np.fromiter(map(len, pieces), np.int64, n)
+        done = np.where(inside, self.single[raw], -1)
+        tokens = np.vstack([done, np.full((1, n), -1)])
+        after = np.repeat(np.arange(1, width + 2)[:, None], n, 1)
+        before = np.repeat(np.append(width, np.arange(width))[:, None], n, 1)
+        # rank and place of the pair that begins in a row, as one number: the least is the leftmost of the lowest rank
+        best = np.full((width + 1, n), NONE)
+        pair = self.bytes[raw[:-1] << 8 | raw[1:]]
+        best[: width - 1] = np.where(inside[1:] & (pair < NONE), pair << bits | rows[:-1], NONE)
+        columns = np.arange(n)
+        while True:
+            least = best.min(axis=0)
+            open_ = np.flatnonzero(least < NONE)
+            if 2 * len(open_) <= len(columns):
+                done[:, columns] = tokens[:width]
+                if not len(open_):
+                    break
+                columns, least, tokens, after, before, best = columns[open_], least[open_], *(a[:, open_] for a in (tokens, after, before, best))
+                open_ = np.arange(len(columns))
+            least = least[open_]
+            at, token = least & (width - 1), least >> bits
+            gone = after[at, open_]
+            next_, previous = after[gone, open_], before[at, open_]
+            tokens[at, open_], tokens[gone, open_], best[gone, open_] = token, -1, NONE
+            after[at, open_], before[next_, open_] = next_, at
+            pair = self.find(np.concatenate([tokens[previous, open_], token]), np.concatenate([token, tokens[next_, open_]]))
+            place = np.concatenate([previous, at])
+            best[place, np.concatenate([open_, open_])] = np.where(pair < NONE, pair << bits | place, NONE)
+        held = done.T >= 0
+        flat, ends = done.T[held].astype(np.int32).tobytes(), (4 * np.cumsum(held.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+
 class PrefixEncoding:
     """One byte string with the last token of each of its prefixes; supports exact appends and edits."""
 
@@ -153,39 +229,78 @@ class Codec:
         self.vocabulary = Vocabulary(ranks)
         self.split = (lambda text: [m[0] for m in compiled.finditer(text)]) if compiled.groups else compiled.findall
         self.spaced = pattern == SPACED
-        self._chunks: dict[str, list[int]] = {}
+        self.pairs = PairTable(ranks) if all(bytes([b]) in ranks for b in range(256)) else None
+        self._whole = {t: np.int32(r).tobytes() for t, r in ranks.items()}
+        self._chunks: dict[str, bytes] = {}  # int32 each
 
-    def _chunk(self, chunk: str, whole: bool = False) -> list[int]:
-        """Encodes a part of a text that begins and ends where pieces do; whole: it is one piece."""
-        out: list[int] = []
-        for p in [chunk] if whole or chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk.isalpha()) else self.split(chunk):
+    def _parts(self, text: str) -> list[str]:
+        """With the pattern SPACED, a space before a character that isn't white space always begins a piece: texts are cut there
+        first. With any other, the pattern alone says where pieces are."""
+        if not self.spaced:
+            return self.split(text)
+        if "\0" in text or UNCUT.search(text):
+            return CUT.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _encode(self, pieces: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its encoding."""
+        short: dict[int, tuple[list[str], list[bytes]]] = {w: ([], []) for w in WIDTHS}
+        small, middle, large = WIDTHS
+        for p in pieces:
             data = p.encode()
-            whole = self.vocabulary.ranks.get(data)
-            out += PrefixEncoding(self.vocabulary, data).ids() if whole is None else [whole]
-        if len(chunk) <= KEPT_CHARS:
-            if len(self._chunks) >= KEPT_CHUNKS:
-                self._chunks.clear()
-            self._chunks[chunk] = out
+            whole = self._whole.get(data)
+            if whole is not None:
+                yield p, whole
+            elif self.pairs is None or len(data) > large:
+                yield p, np.array(PrefixEncoding(self.vocabulary, data).ids(), np.int32).tobytes()
+            else:
+                names, block = short[small if len(data) <= small else middle if len(data) <= middle else large]
+                names.append(p)
+                block.append(data)
+        for width, (names, block) in short.items():
+            for at in range(0, len(names), BLOCK):
+                yield from zip(names[at : at + BLOCK], self.pairs.merge(block[at : at + BLOCK], width), strict=True)
+
+    def _learn(self, parts: set[str]) -> list[str]:
+        """Puts parts into the table and returns the long ones. With the pattern SPACED, a word of ASCII letters is one piece; a piece by itself is cut into no others."""
+        known = self._chunks
+        mixed = {p: self.split(p) for p in parts if not (p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))} if self.spaced else {}
+        pieces = parts.difference(mixed).union(*mixed.values()).difference(known)
+        known.update(self._encode(pieces))
+        known.update((p, b"".join([known[x] for x in cut])) for p, cut in mixed.items() if len(cut) != 1)
+        return [p for p in chain(pieces, mixed) if len(p) > KEPT_CHARS]
+
+    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+        """The encoding of each list of parts; new parts of all are encoded together."""
+        parts = set(chain.from_iterable(cut))
+        new = parts.difference(self._chunks)
+        if len(self._chunks) + len(new) > KEPT_CHUNKS:
+            self._chunks.clear()
+            new = parts
+        long = self._learn(new)
+        out = [b"".join(map(self._chunks.__getitem__, c)) for c in cut]
+        for p in long:
+            self._chunks.pop(p, None)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """With the pattern SPACED, a space before a character that isn't white space always begins a piece, and a word of ASCII letters is
-        one: texts are cut there first. With any other, the pattern alone says where pieces are."""
-        out: list[int] = []
-        known, chunk = self._chunks.get, None
-        if not self.spaced:
-            for piece in self.split(text):
-                out += known(piece) or self._chunk(piece, whole=True)
-            return out
-        for part in text.split(" "):
-            if chunk is None:
-                chunk = part
-            elif not part or part[0].isspace():
-                chunk += " " + part
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, int32, from groups of texts."""
+        at = 0
+        while at < len(texts):
+            begin, size = at, 0
+            while at < len(texts) and (at == begin or size + len(texts[at]) <= GROUP_CHARS):
+                size += len(texts[at])
+                at += 1
+            cut = [self._parts(t) for t in texts[begin:at]]
+            if size > GROUP_CHARS:  # one text
+                (parts,) = cut
+                found = [b"".join([self._joined([parts[k : k + GROUP_PARTS]])[0] for k in range(0, len(parts), GROUP_PARTS)])]
             else:
-                out += known(chunk) or self._chunk(chunk)
-                chunk = " " + part
-        return out + (known(chunk) or self._chunk(chunk))
+                found = self._joined(cut)
+            yield from (np.frombuffer(x, np.int32) for x in found)
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text])).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.vocabulary.tokens
@@ -215,8 +330,7 @@ def encode_documents(
         text_of = {t: str(t) for t in c.vocabulary.tokens}
         for batch in batches:
             out: dict[str, list] = {k: [] for k, _ in fields}
-            for text in batch.column(1):
-                ids = c.encode(text.as_py() or "")
+            for ids in map(np.ndarray.tolist, c.encode_all([text or "" for text in batch.column(1).to_pylist()])):
                 out["n_tokens"].append(len(ids))
                 if keep_ids:
                     out["ids"].append(ids)

@@ -101,11 +101,11 @@ def count_sections(
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for i, (text, ids) in enumerate(zip(texts, c.encode_all(texts), strict=True)):
                 given = (batch.column(2)[i].as_py() or []) if sections_col else None
                 sections = line_sections(text) if given is None else [(s["name"], s["start"], s["end"]) for s in given if s and s["start"] is not None and s["end"] is not None]
-                lengths = size_of[np.array(c.encode(text), np.int64)]
+                lengths = size_of[ids]
                 counts, none = attribute(text, lengths, sections, rule)
                 found = [(k, *s, n) for k, (s, n) in enumerate(zip(sections, counts.tolist(), strict=True))]
                 if none > 0 or not found:

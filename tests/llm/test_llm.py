@@ -57,6 +57,33 @@ def test_bpe_equals_the_library(codec, reference, text):
     assert ids == reference.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_new_words_are_merged_together(codec, reference, monkeypatch):
+    rng, alone = random.Random(11), []
+    begin = bpe.PrefixEncoding.__init__
+    monkeypatch.setattr(bpe.PrefixEncoding, "__init__", lambda self, v, data=b"": (alone.append(data), begin(self, v, data))[1])
+    texts = [" ".join("".join(rng.choice("zqxjkvwéß中") for _ in range(rng.randrange(1, 11))) for _ in range(200)) for _ in range(10)]
+    for text in texts:
+        assert codec.encode(text) == reference.encode_ordinary(text)
+    assert not alone  # one by one, only pieces of over 32 bytes
+    assert codec.encode("zqx" * 11) == reference.encode_ordinary("zqx" * 11) and alone == [b"zqx" * 11]
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"\S+|\s"])
+def test_groups_of_texts_equal_the_library(pattern, monkeypatch):
+    rng = random.Random(12)
+    for name, value in {"GROUP_CHARS": 200, "GROUP_PARTS": 5, "BLOCK": 7, "KEPT_CHUNKS": 60}.items():
+        monkeypatch.setattr(bpe, name, value)
+    # ranks in any order, so that a merge may make a pair of a lower rank than its own
+    words = {bytes(rng.choices(b"abc \xc3\xa9", k=rng.randrange(2, 7))) for _ in range(400)}
+    ranks = {t: r for r, t in enumerate(rng.sample(sorted({bytes([b]) for b in range(256)} | words), 256 + len(words)))}
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, pattern)
+    parts = ["abc", "cab", " ", "  ", "é", "aab" * 20, "\n", " b", "\0", " 'll", "c!a", "bca" * 3]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(150)), "", "abcé " * 300, " "]
+    assert [x.tolist() for x in codec.encode_all(texts)] == known.encode_ordinary_batch(texts)
+    assert max(map(len, codec._chunks)) <= bpe.KEPT_CHARS
+
+
 @settings(max_examples=200, deadline=None)
 @given(a=st.binary(max_size=80), b=st.binary(max_size=80), data=st.data())
 def test_appends_and_edits_are_exact(codec, a, b, data):
