@@ -713,10 +713,10 @@ def calibrate_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order line with its part's price on the order's date; prices hold from the date on at which they were charged."""
     sold = retail.table(spark, sf_dir, "lineitem")
-    prices = sold.filter("l_quantity > 0").groupBy("l_partkey", retail.day("l_shipdate").alias("price_date")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    prices = sold.filter("l_quantity > 0").select("l_partkey", retail.day("l_shipdate").alias("price_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     orders = retail.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), retail.day("o_orderdate").alias("order_date"))
     lines = sold.join(orders, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "order_date")
-    return asof.asof_join(lines, prices, ("l_partkey",), "order_date", "price_date", ("price",))
+    return asof.asof_join(lines, prices, ("l_partkey",), "order_date", "price_date", ("price",), least=True, counted=sold.select("l_partkey"))
 
 
 @query

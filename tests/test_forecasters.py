@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from datetime import timedelta
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stockcast.config import Config
 from stockcast.models import ets, sarima
 from stockcast.operators import asof, explore, fit, intermittent, order, sketches
+from stockcast.plans.catalog import QUERIES
 
 
 def simulated(seed, n=1100, ar=0.7, ma=0.4, seasonal=-0.6):
@@ -189,6 +190,31 @@ def test_as_of_rows_equal_brute_force(spark):
         asof.asof_join(a.withColumn("v", F.lit(1)), b, ("id",), "at", "since", ("v",))
 
 
+@pytest.mark.parametrize(("cell_rows", "least", "counted"), [(0, False, False), (0, True, True), (150, True, False), (10**6, True, True)])
+def test_as_of_rows_are_the_same_however_keys_are_dealt(spark, cell_rows, least, counted):
+    rng = np.random.default_rng(10)
+    keys = lambda n: [None if v == 9 else 1 if v < 6 else v for v in rng.integers(0, 10, n).tolist()]
+    left = list(zip(keys(300), [t or None for t in rng.integers(0, 400, 300).tolist()], range(300), strict=True))
+    right = list(zip(keys(200), [t or None for t in rng.integers(0, 400, 200).tolist()], [v or None for v in rng.integers(0, 9, 200).tolist()], strict=True)) + [(1, 50, 3), (1, 50, 7), (1, 50, None)]
+    day = "date_add(date'1999-01-01', t)"
+    a = spark.createDataFrame(left, "id int, t int, n long").selectExpr("id", f"{day} as at", "n").repartition(3)
+    b = spark.createDataFrame(right, "id long, t int, v long").selectExpr("id", f"cast({day} as timestamp) as since", "v")
+    made = asof.asof_join(a, b, ("id",), "at", "since", ("v",), 30, least, a.select("id").unionByName(b.select("id")) if counted else None, cell_rows)
+    assert [(f.name, f.dataType.simpleString()) for f in made.schema] == [("id", "int"), ("at", "date"), ("n", "bigint"), ("since", "timestamp"), ("v", "bigint")]
+    start, want = date(1999, 1, 1), Counter()
+    for k, t, n in left:
+        before = [(since, v is not None, (-v if least else v) if v else 0, v) for i, since, v in right if k is not None and i == k and t and since and since <= t]
+        best = max(before, key=lambda x: x[:3], default=None)
+        want[k, t and start + timedelta(t), n, best and start + timedelta(best[0]), best and best[3]] += 1
+    assert Counter((r["id"], r["at"], r["n"], r["since"] and r["since"].date(), r["v"]) for r in made.collect()) == want and sum(x[4] is not None for x in want) > 100
+
+
+def test_an_as_of_join_shuffles_its_rows_once(spark, sf):
+    plan = QUERIES["price_as_of"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scans, shuffles = plan.count("FileScan parquet"), plan.count("Exchange hashpartitioning")
+    assert scans == 3 and shuffles <= 3  # lines with orders, then both sides by key
+
+
 def test_sketched_offsets_have_the_ranks_they_should(spark):
     rng = np.random.default_rng(9)
     rows = [("a" if k % 3 else "b", "m", k % 25, float(v)) for k, v in enumerate(rng.gamma(2, 5, 6000))] + [("c", "m", 3, 1.5), ("c", "m", 4, None)]
