@@ -42,7 +42,7 @@ KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 300_000, 40, 500_000
 
 #: Characters of the texts that are encoded together, parts of one longer text that are, pieces of a block, and the greatest
 #: lengths in bytes of a block's pieces (powers of two); longer pieces are encoded by prefixes.
-GROUP_CHARS, GROUP_PARTS, BLOCK, WIDTHS = 1 << 20, 1 << 17, 8192, (8, 16, 32)
+GROUP_CHARS, GROUP_PARTS, BLOCK, WIDTHS = 1 << 18, 1 << 15, 2048, (8, 16, 32)
 
 #: A space that begins a piece, and one that doesn't, in texts of the pattern SPACED.
 CUT, UNCUT = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
@@ -107,8 +107,8 @@ class PairTable:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        found = [(ranks[a], ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
-        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        found = (x for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks for x in (ranks[a], ranks[b], r))
+        left, right, rank = np.fromiter(found, np.int64).reshape(-1, 3).T
         self.base = max(ranks.values()) + 2  # so that -1, no token, makes no key
         order = np.argsort(left * self.base + right)
         self.keys, self.ranks = (left * self.base + right)[order], rank[order]
