@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stockcast.llm import bpe, language_id, mixing, resemblance, secret_scan
-from stockcast.llm.components import clear_scratch, delete, ensure_checkpoint_dir
+from stockcast.llm.components import clear_scratch, delete, ensure_checkpoint_dir, scratch_made
 
 #: The least margin between the two best languages: below it they are as good as tied.
 LEAST_MARGIN = 0.001
@@ -61,8 +61,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        others = scratch_made()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        clear_scratch(spark)
+        clear_scratch(spark, others)
         if k:
             delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")

@@ -86,7 +86,7 @@ def one_of_each(df: DataFrame, kept: DataFrame) -> DataFrame:
     return df.dropDuplicates(list(CONTENT)).join(kept, list(CONTENT))
 
 
-#: Folders that scratch_folder has named since clear_scratch.
+#: Folders that scratch_folder has named and clear_scratch has not deleted.
 _folders: list[str] = []
 
 
@@ -96,9 +96,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return _folders[-1]
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables made so far; for a caller that has written all that was read from them."""
-    while _folders:
+def scratch_made() -> int:
+    """How many scratch tables there are; clear_scratch takes it."""
+    return len(_folders)
+
+
+def clear_scratch(spark: SparkSession, since: int) -> None:
+    """Deletes the scratch tables made after the first since; for a caller that has written all that was read from its own."""
+    while len(_folders) > since:
         delete(spark, _folders.pop())
 
 
