@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 
 from .components import map_arrow, quoted
 
-#: Parts of texts kept in a worker's table of encodings, and their greatest length in characters.
+#: Parts of texts kept in each of a worker's two tables of encodings, and their greatest length in characters.
 #: Both bound memory only: a part that is not kept is encoded again.
-KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 300_000, 40, 500_000
+KEPT_CHUNKS, KEPT_CHARS, KEPT_PAIRS = 60_000, 40, 100_000
 
 #: Characters of the texts that are encoded together, parts of one longer text that are, pieces of a block, and the greatest
 #: lengths in bytes of a block's pieces (powers of two); longer pieces are encoded by prefixes.
@@ -222,7 +222,11 @@ class PrefixEncoding:
 
 
 class Codec:
-    """Encodes texts part by part and decodes ids; holds a bounded table of parts already encoded."""
+    """Encodes texts part by part and decodes ids; holds two bounded tables of parts already encoded.
+
+    When the newer one is full it becomes the older one, whose parts come back as texts need them: so frequent parts stay
+    while the long tail of rare ones goes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         compiled = regex.compile(pattern)
@@ -232,6 +236,7 @@ class Codec:
         self.pairs = PairTable(ranks) if all(bytes([b]) in ranks for b in range(256)) else None
         self._whole = {t: np.int32(r).tobytes() for t, r in ranks.items()}
         self._chunks: dict[str, bytes] = {}  # int32 each
+        self._older: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
         """With the pattern SPACED, a space before a character that isn't white space always begins a piece: texts are cut there
@@ -261,11 +266,18 @@ class Codec:
             for at in range(0, len(names), BLOCK):
                 yield from zip(names[at : at + BLOCK], self.pairs.merge(block[at : at + BLOCK], width), strict=True)
 
+    def _unknown(self, parts: set[str]) -> set[str]:
+        """Those of parts that neither table holds; what only the older one holds is put into the newer."""
+        missing, older = parts.difference(self._chunks), self._older
+        new = missing.difference(older)
+        self._chunks.update((p, older[p]) for p in missing - new)
+        return new
+
     def _learn(self, parts: set[str]) -> list[str]:
         """Puts parts into the table and returns the long ones. With the pattern SPACED, a word of ASCII letters is one piece; a piece by itself is cut into no others."""
         known = self._chunks
         mixed = {p: self.split(p) for p in parts if not (p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))} if self.spaced else {}
-        pieces = parts.difference(mixed).union(*mixed.values()).difference(known)
+        pieces = self._unknown(parts.difference(mixed).union(*mixed.values()))
         known.update(self._encode(pieces))
         known.update((p, b"".join([known[x] for x in cut])) for p, cut in mixed.items() if len(cut) != 1)
         return [p for p in chain(pieces, mixed) if len(p) > KEPT_CHARS]
@@ -273,11 +285,9 @@ class Codec:
     def _joined(self, cut: list[list[str]]) -> list[bytes]:
         """The encoding of each list of parts; new parts of all are encoded together."""
         parts = set(chain.from_iterable(cut))
-        new = parts.difference(self._chunks)
-        if len(self._chunks) + len(new) > KEPT_CHUNKS:
-            self._chunks.clear()
-            new = parts
-        long = self._learn(new)
+        if self._chunks and len(self._chunks) + len(parts.difference(self._chunks)) > KEPT_CHUNKS:
+            self._chunks, self._older = {}, self._chunks
+        long = self._learn(self._unknown(parts))
         out = [b"".join(map(self._chunks.__getitem__, c)) for c in cut]
         for p in long:
             self._chunks.pop(p, None)
@@ -330,10 +340,11 @@ def encode_documents(
         text_of = {t: str(t) for t in c.vocabulary.tokens}
         for batch in batches:
             out: dict[str, list] = {k: [] for k, _ in fields}
-            for ids in map(np.ndarray.tolist, c.encode_all([text or "" for text in batch.column(1).to_pylist()])):
+            for found in c.encode_all([text or "" for text in batch.column(1).to_pylist()]):
+                ids = found.tolist()
                 out["n_tokens"].append(len(ids))
                 if keep_ids:
-                    out["ids"].append(ids)
+                    out["ids"].append(found)
                 out["ids_sha256"].append(hashlib.sha256(",".join([text_of[i] for i in ids]).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in fields)], names=[id_col, *out])

@@ -54,6 +54,20 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(sliced, schema)
 
 
+#: Spark's own limit of the bytes of a batch, and what small_batches sets it to.
+BATCH_BYTES, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of the bytes that an executor gathers before it hands them to a worker; a longer row goes alone.
+
+    By default a batch is 10,000 rows, which of whole texts is all that a task reads: both sides hold it at once.
+    """
+    set_ = spark.conf.get(BATCH_BYTES, None)
+    if not (set_ and set_.rstrip("bB").isdigit() and int(set_.rstrip("bB")) <= SMALL):
+        spark.conf.set(BATCH_BYTES, str(SMALL))
+
+
 #: Rows up to which a table of a few numbers a row may be broadcast.
 MOST_BROADCAST = 100_000
 

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -516,3 +517,24 @@ def test_keep_one_keeps_clashing_columns(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r["_row"] for r in kept.collect()) == ["_row0", "_row2"]
     assert simhash.near_duplicates(df.withColumnRenamed("text", "te`xt"), text_col="te`xt").count() == 3
+
+
+def test_stages_hand_texts_over_in_small_batches(spark):
+    import corpus_pipeline as p
+    from stockcast.llm import components
+
+    before = spark.conf.get(components.BATCH_BYTES)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        rows = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.repeat(F.lit("ab "), 1_000_000)).otherwise(F.repeat(F.lit("ab "), 700)).alias("text"))
+        found = {r["doc_id"]: r["n_tokens"] for r in p.encode(spark, rows, "").select("doc_id", "n_tokens").collect()}
+        assert len(found) == 3000 and found[7] > 1_000_000 > min(found.values()) == max(v for k, v in found.items() if k != 7)
+        handed = rows.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in handed) == 3000 and max(r["bytes"] for r in handed) < 5 * components.SMALL
+        assert sum(r["bytes"] for r in handed) > 8 * components.SMALL
+    finally:
+        spark.conf.set(components.BATCH_BYTES, before)
